@@ -61,8 +61,8 @@ def byte_groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of at least so many rows that never cut a run of equal keys; rows must come sorted by the key."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 200_000, shift: int = 0) -> Iterator[pa.Table]:
+    """Tables of at least so many rows that never cut a run of equal keys (without their lowest `shift` bits); rows must come sorted by the key."""
     held: list[pa.Table] = []
     rows = 0
     for b in batches:
@@ -73,7 +73,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 20
         if rows < at_least:
             continue
         t = pa.concat_tables(held).combine_chunks()
-        k = t.column(key).to_numpy()
+        k = t.column(key).to_numpy() >> shift
         cut = int(np.searchsorted(k, k[-1], side="left"))
         if cut:
             yield t.slice(0, cut)

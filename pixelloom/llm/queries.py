@@ -7,17 +7,38 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import piece_codec, token_counts, token_files
+from pixelloom.llm import decontamination, fingerprints, importance, language_id, piece_codec, simhash_dedup, token_counts, token_files
 from pixelloom.llm.base import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.cross_checked(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=8, least_items=2)
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+    return found.select("doc_id", simhash_dedup.fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), BYTES, end_id=2)
 
@@ -27,8 +48,11 @@ def op10_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op9_token_files, op10_piece_round_trip)}
+    return {
+        f.__name__: f
+        for f in (op2_language_id, op3_token_counts, op4_decontamination, op6_winnowing, op7_simhash, op8_importance, op9_token_files, op10_piece_round_trip)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontamination.ORACLE_SQL}
