@@ -31,6 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Test terms that may be broadcast at most; with about 50 bytes each that is 10 MB.
 BROADCAST_TERMS = 200_000
+#: Ids of contaminated documents that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -152,8 +154,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 1) -> DataFrame:
     """The documents in which phrases of fewer than `least_items` items occur; all columns are kept."""
-    bad = hits(docs, items, width).where(F.size("items") >= least_items).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = materialize(hits(docs, items, width).where(F.size("items") >= least_items).select("doc_id"), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = """

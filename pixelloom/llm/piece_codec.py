@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pixelloom.llm.base import byte_groups, id_and_text
 
@@ -181,11 +182,12 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
 
 def reencode_texts(docs: DataFrame, model_path: str) -> DataFrame:
-    """The documents with each text encoded and decoded again, all other columns kept; a null text stays null.
+    """The documents with each text encoded and decoded again, all other columns kept; a null text stays null. n_tokens (without begin and end) is new.
 
     Where decoding gives another text (a space mark or an invalid sequence in it), the decoded text is what a
     model would have seen, so it takes the text's place.
     """
+    docs = docs.drop("n_tokens")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,5 +199,4 @@ def reencode_texts(docs: DataFrame, model_path: str) -> DataFrame:
             columns = [back if c == "text" else b.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, counts], [*names, "n_tokens"])
 
-    schema = docs.schema.add("n_tokens", "long")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))

@@ -35,6 +35,8 @@ from pixelloom.llm.components import components, merge_labels
 
 SEED = 42
 BITS = 64
+#: Ids of dropped documents that may be broadcast; beyond it the same join shuffles.
+BROADCAST_IDS = 1_000_000
 #: (query, node) steps that are held at once in a search.
 STEPS = 2_000_000
 
@@ -190,7 +192,7 @@ def fingerprint_hex(fp):
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """The documents with one of each class of near-duplicates: the one with the smallest doc_id. All columns are kept.
 
-    Rows that share a doc_id are told apart by nothing and stay or go together.
+    Rows that share a doc_id are told apart by nothing and stay or go together; rows with a null doc_id stay.
     """
-    stay = near_duplicates(docs, radius, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    go = materialize(near_duplicates(docs, radius, width).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(F.broadcast(go) if go.count() <= BROADCAST_IDS else go, "doc_id", "left_anti").select(*docs.columns)
