@@ -3,7 +3,7 @@
 Two hashed n-gram generative models are fitted: one on target text (labelled as good), one on the raw corpus. A document's
 log weight is the sum over its n-grams of log p_target - log p_raw - cut. The cut makes up for what the two samples differ in
 besides quality (shares of languages, a few very long texts): it is the mean log ratio that best parts labelled good from
-labelled bad documents, 0 without both. Documents are drawn without replacement in proportion to their weights by Gumbel
+labelled bad documents while keeping nearly all good ones, 0 without both. Documents are drawn without replacement in proportion to their weights by Gumbel
 top-k: each log weight gets a Gumbel noise that depends on the doc_id alone, and the k largest stay. Unless k is given it is
 the number of documents with a log weight of 0 or more.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.base import materialize
-from pixelloom.llm.ngrams import BUCKETS, grams
+from pixelloom.llm.ngrams import BUCKETS as GRAMS
+from pixelloom.llm.ngrams import grams
 
 TARGET_DOCS = 20_000
 SMOOTHING = 1.0
+#: Share of labelled good documents that the cut must keep.
+KEEP_GOOD = 0.995
+
+
+#: Buckets: those of byte n-grams, then word pairs that repeat a word, then other word pairs.
+BUCKETS = GRAMS + 2
+
+
+def features(text: str) -> np.ndarray:
+    """Buckets of a text's byte n-grams and, as the word bigrams that junk shows by itself, of its equal and unequal neighbouring words."""
+    words = text.split()
+    same = sum(map(eq, words, words[1:]))
+    return np.concatenate([grams(text, lower=False), np.repeat(np.array([GRAMS, GRAMS + 1], np.uint32), [same, max(0, len(words) - 1 - same)])])
 
 
 @dataclass
@@ -43,12 +58,13 @@ class Model:
     def weight(self, text: str | None) -> float:
         if not text:
             return 0.0
-        g = grams(text, lower=False)
+        g = features(text)
         return float(self.log_ratio[g].sum()) - self.cut * len(g)
 
 
 def best_cut(means: np.ndarray, good: np.ndarray) -> float:
-    """The value that parts good (above) from bad means with the largest share of either right; the middle of the gap there."""
+    """The value that parts good (above) from bad means with the largest share of either right, the middle of the
+    gap there; lower if a share of over 1 - KEEP_GOOD of the good would fall below."""
     if good.all() or not good.any():
         return 0.0
     order = np.argsort(means, kind="stable")
@@ -56,7 +72,7 @@ def best_cut(means: np.ndarray, good: np.ndarray) -> float:
     right = np.cumsum(~g)[:-1] / (~g).sum() + (g.sum() - np.cumsum(g)[:-1]) / g.sum()
     right[m[:-1] == m[1:]] = -1.0
     at = int(np.argmax(right))
-    return float(m[at] + m[at + 1]) / 2
+    return min(float(m[at] + m[at + 1]) / 2, float(np.quantile(means[good], 1 - KEEP_GOOD)))
 
 
 def labelled(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
@@ -78,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> Model:
         @F.pandas_udf("double")
         def mean(texts: pd.Series) -> pd.Series:
             ratio = sent.value.log_ratio
-            return pd.Series([float(ratio[grams(t, lower=False)].mean()) for t in texts], dtype="float64")
+            return pd.Series([float(ratio[features(t)].mean()) for t in texts], dtype="float64")
 
         got = some.select(mean("text").alias("m"), "good").toPandas()  # bounded by 2 x most
         model.cut = best_cut(got["m"].to_numpy(float), got["good"].to_numpy(bool))
@@ -96,7 +112,7 @@ def fit_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
             size = 0
             for text, target in zip(texts, b.column("target").to_pylist()):
                 if text:
-                    g = grams(text, lower=False)
+                    g = features(text)
                     held.append(g)
                     size += len(g)
                     if target:
