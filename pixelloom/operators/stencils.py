@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
 
-ORDER = Window.partitionBy("img").orderBy("pos")
 MODES = range(14)
 
 
+def _order():
+    return Window.partitionBy("img").orderBy("pos")
+
+
 def neighbours(px: DataFrame, width: int) -> DataFrame:
     """Adds left, top, top-right and top-left channels (l_, t_, tr_, tl_) for images of one width; the last column's top-right wraps to the next pixel of its own row's start."""
     for c in "rgba":
         for name, n in (("l", 1), ("t", width), ("tr", width - 1), ("tl", width + 1)):
-            px = px.withColumn(f"{name}_{c}", F.lag(c, n).over(ORDER))
+            px = px.withColumn(f"{name}_{c}", F.lag(c, n).over(_order()))
     return px
 
 
@@ -69,7 +72,7 @@ def _one_pass(px: DataFrame, width: int, height: int, b: int) -> DataFrame:
     near = F.lit(True)
     for c in "rgb":
         for n in (F.lag(c, 1), F.lead(c, 1), F.lag(c, width), F.lead(c, width)):
-            near = near & (F.abs(F.col(c) - n.over(ORDER)) < (1 << b))
+            near = near & (F.abs(F.col(c) - n.over(_order())) < (1 << b))
     return px.withColumn("smooth", near).withColumns({c: F.when(inside & ~F.col("smooth"), P.near_lossless_value(F.col(c), b)).otherwise(F.col(c)) for c in "rgb"}).drop("smooth")
 
 
@@ -88,7 +91,7 @@ def cache_hits(px: DataFrame, bits: list[int]) -> DataFrame:
 def runs(px: DataFrame, least: int = 4) -> DataFrame:
     """(img, start, length, p): runs of equal pixels of at least `least`, by gaps and islands."""
     p = px.select("img", "pos", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("p"))
-    p = p.withColumn("new", F.when(F.lag("p").over(ORDER) == F.col("p"), 0).otherwise(1)).withColumn("run", F.sum("new").over(ORDER))
+    p = p.withColumn("new", F.when(F.lag("p").over(_order()) == F.col("p"), 0).otherwise(1)).withColumn("run", F.sum("new").over(_order()))
     return p.groupBy("img", "run").agg(F.min("pos").alias("start"), F.count("*").alias("length"), F.min("p").alias("p")).where(F.col("length") >= least).drop("run")
 
 
@@ -97,8 +100,8 @@ def offset_matches(px: DataFrame, width: int) -> DataFrame:
     p = px.select("img", "pos", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a")).alias("p"))
     out = None
     for d in (1, width - 1, width, width + 1):
-        m = p.withColumn("same", (F.lag("p", d).over(ORDER) == F.col("p")) & F.lag("p", d).over(ORDER).isNotNull())
-        m = m.withColumn("island", F.sum(F.when(F.coalesce("same", F.lit(False)), 0).otherwise(1)).over(ORDER)).where("same")
+        m = p.withColumn("same", (F.lag("p", d).over(_order()) == F.col("p")) & F.lag("p", d).over(_order()).isNotNull())
+        m = m.withColumn("island", F.sum(F.when(F.coalesce("same", F.lit(False)), 0).otherwise(1)).over(_order())).where("same")
         m = m.groupBy("img", "island").count().groupBy("img").agg(F.sum("count").alias("matches"), F.max("count").alias("longest")).select("img", F.lit(d).cast("long").alias("distance"), "matches", "longest")
         out = m if out is None else out.unionByName(m)
     return out

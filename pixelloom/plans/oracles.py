@@ -156,6 +156,7 @@ ORACLES = {
     "image_offset_matches": _offsets(),
     "image_activity": f"WITH {_activity()} SELECT img, mbx, mby, CAST(activity AS BIGINT) AS activity FROM act",
     "image_segments": _segments(),
+    "image_lossless": f"WITH px AS ({pixels_sql(SMALL)}) SELECT img, count(*) AS pixels, CAST(sum({P}) AS BIGINT) AS total FROM px GROUP BY img",
     "codes_prefix": "WITH v AS (SELECT range AS v, range - 1 AS d FROM range(1, 5000)), t AS (SELECT v, d, CASE WHEN v <= 4 THEN 0 ELSE len(bin(d)) - 1 END AS top FROM v) SELECT v, CAST(CASE WHEN v <= 4 THEN v - 1 ELSE top * 2 + ((d >> (top - 1)) & 1) END AS INTEGER) AS symbol, CAST(CASE WHEN v <= 4 THEN 0 ELSE top - 1 END AS INTEGER) AS bits, CAST(CASE WHEN v <= 4 THEN 0 ELSE d % (1 << (top - 1)) END AS BIGINT) AS extra FROM t",
     "tables_quality": "WITH v AS (SELECT CAST(range AS INTEGER) AS v, least(range, 100) / 100.0 AS c FROM range(1, 257)) SELECT v, CAST(trunc(127 * (1 - cbrt(CASE WHEN c >= 0.75 THEN c * 2 - 1 ELSE c * (2.0 / 3.0) END))) AS INTEGER) AS q, CAST(greatest(v * v // 8, 1) AS BIGINT) AS lambda, CAST(trunc(log2(256.0 / v) * 256) AS BIGINT) AS cost, CAST(list_sum(list_transform(range(9), lambda i: ((v >> CAST(i AS INTEGER)) & 1) << CAST(8 - i AS INTEGER))) AS BIGINT) AS reversed, CAST(CASE WHEN least(v, 255) + 3 + (least(v, 255) >> 3) % 2 > 255 THEN 255 ELSE ((least(v, 255) + 3 + (least(v, 255) >> 3) % 2) >> 3) << 3 END AS INTEGER) AS near FROM v",
 }

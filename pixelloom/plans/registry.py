@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
-from pixelloom.operators import blocks, corpus, distortion, histograms, rate_distortion, stencils
+from pixelloom.operators import blocks, corpus, distortion, histograms, images, rate_distortion, stencils
 from pixelloom.sources.fixtures import STANDARD, hidden_rgb, image, pixels, pixels_sql
 
 SMALL = ["gradient128", "flat128", "alpha128"]
@@ -205,6 +205,20 @@ def image_block_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("q").agg(F.count("*").alias("blocks"), F.sum(F.aggregate("e", F.lit(0), lambda t, v: t + v)).alias("squared"))
 
 
+def image_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again: the pixels that come back."""
+    back = images.decode(images.encode(images.packed(pixels(spark, SMALL)).repartition(3, "img"), "default"))
+    return back.groupBy("img").agg(F.count("*").alias("pixels"), F.sum(P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).alias("total"))
+
+
+def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.layout(images.encode(images.packed(pixels(spark, ["flat128", "gradient128"])).repartition(2, "img"), "fast"))
+
+
+def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.best_candidate(images.candidates(images.packed(hidden_rgb(spark)), "best"))
+
+
 def codes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.range(1, 5000).withColumnRenamed("id", "v")
     s, n, e = P.prefix_code(F.col("v"))
@@ -219,7 +233,7 @@ def tables_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     corpus_split_summary, corpus_distribution, corpus_grouping_sets, corpus_index, corpus_digest, match_by_size, match_by_quality, quality_aggregate, pareto_front, bd_comparison,
     timing_statistics, image_sums, image_entropy, image_hidden_rgb, image_yuv, image_predictors, image_colour_transform, image_near_lossless, image_distortion, image_ssim, image_chroma_planes,
-    image_palette, image_palette_deltas, image_cache_hits, image_runs, image_offset_matches, image_activity, image_segments, image_huffman, image_identity, image_block_transforms, codes_prefix,
+    image_palette, image_palette_deltas, image_cache_hits, image_runs, image_offset_matches, image_activity, image_segments, image_huffman, image_identity, image_block_transforms, image_lossless, image_layout, image_candidates, codes_prefix,
     tables_quality,
 ]
 
