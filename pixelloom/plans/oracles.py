@@ -12,19 +12,59 @@ CLIP = lambda e: f"least(greatest({e}, 0), 255)"
 INDEX = "WITH d AS (SELECT *, sha256(text) AS h FROM documents), s AS (SELECT *, CASE WHEN CAST('0x' || substr(h, 1, 4) AS BIGINT) * 100 < {p} * 65536 THEN 'holdout' ELSE 'train' END AS split FROM d) "
 
 
-def _predictors() -> str:
+def _mode_residuals() -> tuple[str, dict[str, str]]:
+    """CTEs px, n, m and, per channel, the wrapped residual of a row of n and mode of m."""
     lags = ", ".join(f"lag({c}, {n}) OVER w AS {k}_{c}" for c in "rgba" for k, n in (("l", 1), ("t", 128), ("tr", 127), ("tl", 129)))
     apart = lambda k: " + ".join(f"abs(l_{c} + t_{c} - tl_{c} - {k}_{c})" for c in "rgba")
     avg = lambda x, y: f"(({x} + {y}) // 2)"
-    parts = []
+    parts = {}
     for c in "rgba":
         one, t, tr, tl = (f"{k}_{c}" for k in ("l", "t", "tr", "tl"))
         zero = 255 if c == "a" else 0
         half = avg(one, t)
         forms = [str(zero), one, t, tr, tl, avg(avg(one, tr), t), avg(one, tl), half, avg(tl, t), avg(t, tr), avg(avg(one, tl), avg(t, tr)), f"CASE WHEN {apart('l')} < {apart('t')} THEN {one} ELSE {t} END", CLIP(f"{one} + {t} - {tl}"), CLIP(f"{half} + CAST(trunc(({half} - {tl}) / 2.0) AS INTEGER)")]
         by = "CASE mode " + " ".join(f"WHEN {m} THEN {e}" for m, e in enumerate(forms)) + " END"
-        parts.append(f"sum({MOD(f'{c} - CASE WHEN x = 0 AND y = 0 THEN {zero} WHEN y = 0 THEN {one} WHEN x = 0 THEN {t} ELSE {by} END')}) AS {c}")
-    return f"WITH px AS ({pixels_sql(SMALL)}), n AS (SELECT *, {lags} FROM px WINDOW w AS (PARTITION BY img ORDER BY pos)), m AS (SELECT CAST(range AS INTEGER) AS mode FROM range(14)) SELECT img, mode, {', '.join(parts)} FROM n, m GROUP BY img, mode"
+        parts[c] = MOD(f"{c} - CASE WHEN x = 0 AND y = 0 THEN {zero} WHEN y = 0 THEN {one} WHEN x = 0 THEN {t} ELSE {by} END")
+    return f"px AS ({pixels_sql(SMALL)}), n AS (SELECT *, {lags} FROM px WINDOW w AS (PARTITION BY img ORDER BY pos)), m AS (SELECT CAST(range AS INTEGER) AS mode FROM range(14))", parts
+
+
+def _predictors() -> str:
+    ctes, parts = _mode_residuals()
+    return f"WITH {ctes} SELECT img, mode, {', '.join(f'sum({e}) AS {c}' for c, e in parts.items())} FROM n, m GROUP BY img, mode"
+
+
+ENTROPY = "CASE WHEN sum(n) < 2 THEN 0.0 ELSE sum(n) * log2(sum(n)) - sum(n * log2(n)) END"
+
+
+def _block_predictors() -> str:
+    ctes, parts = _mode_residuals()
+    long = " UNION ALL ".join(f"SELECT img, tx, ty, mode, '{c}' AS c, {c} AS s FROM r" for c in "rgba")
+    return f"""WITH {ctes}, r AS (SELECT img, x >> 5 AS tx, y >> 5 AS ty, mode, {', '.join(f'{e} AS {c}' for c, e in parts.items())} FROM n, m), l AS (SELECT img, tx, ty, mode, c, s, count(*) AS n FROM ({long}) GROUP BY ALL),
+e AS (SELECT img, tx, ty, mode, c, {ENTROPY} AS e FROM l GROUP BY img, tx, ty, mode, c), k AS (SELECT img, tx, ty, mode, round(sum(e), 4) AS cost FROM e GROUP BY img, tx, ty, mode)
+SELECT img, tx, ty, mode, cost FROM k QUALIFY row_number() OVER (PARTITION BY img, tx, ty ORDER BY cost, mode) = 1"""
+
+
+def _profiles() -> str:
+    far = lambda n: " + ".join(f"abs({c} - lead({c}, {n}) OVER w)" for c in "rgba")
+    return f"""WITH px AS ({pixels_sql(SMALL)}), j AS (SELECT *, CASE WHEN x + 1 < 128 THEN {far(1)} END AS d1, {far(128)} AS d2 FROM px WINDOW w AS (PARTITION BY img ORDER BY pos)),
+s AS (SELECT img, count(*) AS samples, least(count(DISTINCT {P}), 257) AS colours, count(*) FILTER (WHERE a <> 255) AS translucent, CAST(coalesce(sum(d1), 0) + coalesce(sum(d2), 0) AS BIGINT) AS delta, count(d1) + count(d2) AS pairs FROM j WHERE pos % 8 = 0 GROUP BY img)
+SELECT *, CASE WHEN samples = 0 THEN 'balanced' WHEN translucent * 2 >= samples THEN 'alpha' WHEN colours <= 1 THEN 'flat' WHEN pairs > 0 AND delta <= pairs * 48 THEN 'gradient' WHEN colours >= 128 THEN 'photo' ELSE 'balanced' END AS kind FROM s"""
+
+
+def _repeats() -> str:
+    product = lambda v, k: f"CAST((CAST({v} AS HUGEINT) * {k}) % 4294967296 AS BIGINT)"
+    h = f"xor(xor({product('p', 0x1E35A7BD)}, {product('p1', 0x85EBCA6B)}), {product('p2', 0xC2B2AE35)})"
+    return f"""WITH px AS ({pixels_sql(['ui256', 'palette256', 'alpha128'])}), q AS (SELECT img, pos, {P} AS p FROM px), t AS (SELECT img, pos, p, lead(p, 1) OVER w AS p1, lead(p, 2) OVER w AS p2 FROM q WINDOW w AS (PARTITION BY img ORDER BY pos)),
+u AS (SELECT *, {h} AS g FROM t WHERE p2 IS NOT NULL), v AS (SELECT *, xor(g, g >> 16) >> 16 AS h FROM u),
+z AS (SELECT img, lag(p) OVER k = p AND lag(p1) OVER k = p1 AND lag(p2) OVER k = p2 AS same, pos - lag(pos) OVER k AS d FROM v WINDOW k AS (PARTITION BY img, h ORDER BY pos))
+SELECT img, count(*) AS hashed, count(*) FILTER (WHERE same) AS repeats, count(*) FILTER (WHERE same AND d <= 1024) AS near FROM z GROUP BY img"""
+
+
+def _alpha() -> str:
+    guess = {"none": "0", "horizontal": "CASE WHEN x > 0 THEN l WHEN y > 0 THEN t ELSE 0 END", "vertical": "CASE WHEN y > 0 THEN t WHEN x > 0 THEN l ELSE 0 END", "gradient": f"CASE WHEN x = 0 AND y = 0 THEN 0 WHEN x = 0 THEN t WHEN y = 0 THEN l ELSE {CLIP('l + t - tl')} END"}
+    long = " UNION ALL ".join(f"SELECT img, '{k}' AS filter, {MOD(f'a - {e}')} AS v FROM n" for k, e in guess.items())
+    return f"""WITH px AS ({pixels_sql(['alpha128'])}), n AS (SELECT *, lag(a, 1) OVER w AS l, lag(a, 128) OVER w AS t, lag(a, 129) OVER w AS tl FROM px WINDOW w AS (PARTITION BY img ORDER BY pos)),
+c AS (SELECT img, filter, v, count(*) AS n FROM ({long}) GROUP BY ALL) SELECT img, filter, count(*) AS symbols, round({ENTROPY}, 4) AS entropy FROM c GROUP BY img, filter"""
 
 
 def _near(bits: int, name: str = "px") -> str:
@@ -157,6 +197,12 @@ ORACLES = {
     "image_activity": f"WITH {_activity()} SELECT img, mbx, mby, CAST(activity AS BIGINT) AS activity FROM act",
     "image_segments": _segments(),
     "image_lossless": f"WITH px AS ({pixels_sql(SMALL)}) SELECT img, count(*) AS pixels, CAST(sum({P}) AS BIGINT) AS total FROM px GROUP BY img",
+    "image_profiles": _profiles(),
+    "image_tile_entropy": f"WITH px AS ({pixels_sql(['ui256', 'alpha128'])}), l AS (" + " UNION ALL ".join(f"SELECT img, x >> 5 AS tx, y >> 5 AS ty, '{c}' AS channel, {c} AS s FROM px" for c in "rgba") + f"), c AS (SELECT img, tx, ty, channel, s, count(*) AS n FROM l GROUP BY ALL) SELECT img, tx, ty, channel, count(*) AS symbols, round({ENTROPY}, 4) AS entropy FROM c GROUP BY img, tx, ty, channel",
+    "image_block_predictors": _block_predictors(),
+    "image_hash_repeats": _repeats(),
+    "image_alpha_filters": _alpha(),
+    "codes_distance": "WITH p AS (SELECT x, y FROM (SELECT range - 7 AS x FROM range(16)), (SELECT range AS y FROM range(8)) WHERE y > 0 OR x > 0), n AS (SELECT x + y * 100 AS distance, row_number() OVER (ORDER BY x * x + y * y, abs(x), x < 0) AS i FROM p), k AS (SELECT distance, min(i) AS i FROM n GROUP BY 1) SELECT d.range AS distance, coalesce(k.i, d.range + 120) AS code FROM range(1, 4000) d LEFT JOIN k ON k.distance = d.range",
     "codes_prefix": "WITH v AS (SELECT range AS v, range - 1 AS d FROM range(1, 5000)), t AS (SELECT v, d, CASE WHEN v <= 4 THEN 0 ELSE len(bin(d)) - 1 END AS top FROM v) SELECT v, CAST(CASE WHEN v <= 4 THEN v - 1 ELSE top * 2 + ((d >> (top - 1)) & 1) END AS INTEGER) AS symbol, CAST(CASE WHEN v <= 4 THEN 0 ELSE top - 1 END AS INTEGER) AS bits, CAST(CASE WHEN v <= 4 THEN 0 ELSE d % (1 << (top - 1)) END AS BIGINT) AS extra FROM t",
     "tables_quality": "WITH v AS (SELECT CAST(range AS INTEGER) AS v, least(range, 100) / 100.0 AS c FROM range(1, 257)) SELECT v, CAST(trunc(127 * (1 - cbrt(CASE WHEN c >= 0.75 THEN c * 2 - 1 ELSE c * (2.0 / 3.0) END))) AS INTEGER) AS q, CAST(greatest(v * v // 8, 1) AS BIGINT) AS lambda, CAST(trunc(log2(256.0 / v) * 256) AS BIGINT) AS cost, CAST(list_sum(list_transform(range(9), lambda i: ((v >> CAST(i AS INTEGER)) & 1) << CAST(8 - i AS INTEGER))) AS BIGINT) AS reversed, CAST(CASE WHEN least(v, 255) + 3 + (least(v, 255) >> 3) % 2 > 255 THEN 255 ELSE ((least(v, 255) + 3 + (least(v, 255) >> 3) % 2) >> 3) << 3 END AS INTEGER) AS near FROM v",
 }

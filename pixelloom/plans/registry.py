@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
-from pixelloom.operators import blocks, corpus, distortion, histograms, images, rate_distortion, stencils
+from pixelloom.operators import blocks, corpus, distortion, histograms, images, lossy, planning, rate_distortion, stencils
 from pixelloom.sources.fixtures import STANDARD, hidden_rgb, image, pixels, pixels_sql
 
 SMALL = ["gradient128", "flat128", "alpha128"]
@@ -219,6 +219,34 @@ def image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.best_candidate(images.candidates(images.packed(hidden_rgb(spark)), "best"))
 
 
+def image_lossy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lossy.curve(lossy.modes(lossy.planes(pixels(spark, SMALL), 128, 128), 128, 128, [4, 16, 64]))
+
+
+def image_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.profile(planning.sample_statistics(pixels(spark, SMALL), 128))
+
+
+def image_tile_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.tile_entropy(pixels(spark, ["ui256", "alpha128"]), 5)
+
+
+def image_block_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.block_predictors(pixels(spark, SMALL), 128, 5)
+
+
+def image_hash_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.hash_repeats(pixels(spark, ["ui256", "palette256", "alpha128"]))
+
+
+def image_alpha_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.alpha_filter_costs(pixels(spark, ["alpha128"]), 128)
+
+
+def codes_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.distance_codes(spark.range(1, 4000).withColumnRenamed("id", "distance"), 100)
+
+
 def codes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.range(1, 5000).withColumnRenamed("id", "v")
     s, n, e = P.prefix_code(F.col("v"))
@@ -233,7 +261,8 @@ def tables_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     corpus_split_summary, corpus_distribution, corpus_grouping_sets, corpus_index, corpus_digest, match_by_size, match_by_quality, quality_aggregate, pareto_front, bd_comparison,
     timing_statistics, image_sums, image_entropy, image_hidden_rgb, image_yuv, image_predictors, image_colour_transform, image_near_lossless, image_distortion, image_ssim, image_chroma_planes,
-    image_palette, image_palette_deltas, image_cache_hits, image_runs, image_offset_matches, image_activity, image_segments, image_huffman, image_identity, image_block_transforms, image_lossless, image_layout, image_candidates, codes_prefix,
+    image_palette, image_palette_deltas, image_cache_hits, image_runs, image_offset_matches, image_activity, image_segments, image_huffman, image_identity, image_block_transforms, image_lossless, image_layout, image_candidates, image_lossy_curve, image_profiles, image_tile_entropy,
+    image_block_predictors, image_hash_repeats, image_alpha_filters, codes_distance, codes_prefix,
     tables_quality,
 ]
 
