@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _scratch() -> str:
+    """A local folder for sessions without spark.checkpoint.dir; it goes when the program ends."""
+    root = tempfile.mkdtemp(prefix="pixelloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which the driver and all executors see.
 
@@ -25,8 +36,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = getattr(spark, "_pixelloom_scratch", None) or tempfile.mkdtemp(prefix="pixelloom-")
-        spark._pixelloom_scratch = root
+        root = _scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

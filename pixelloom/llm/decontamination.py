@@ -16,7 +16,8 @@ the same joins shuffle. No step makes more rows than the corpus has words or the
 are gathered as intervals.
 
 Defined cases: a null or empty text has no words; an item without words has no phrase and no match; phrases that several
-items share count for each of them; repeated rows with one doc_id count as one document with each row's words summed;
+items share count for each of them; rows with one doc_id (null too) share
+their hits, and each has its own words counted;
 an empty table gives an empty result; an empty benchmark leaves every document clean; extra columns are ignored.
 """
 
@@ -146,7 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
     found = found.select("doc_id", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"))
     counts = d.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
-    return counts.join(found, "doc_id", "left").select(
+    return counts.join(found.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_items", zero) >= least_items).alias("contaminated"),
     )
@@ -154,8 +155,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 1) -> DataFrame:
     """The documents in which phrases of fewer than `least_items` items occur; all columns are kept."""
-    bad = materialize(hits(docs, items, width).where(F.size("items") >= least_items).select("doc_id"), "contaminated")
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = materialize(hits(docs, items, width).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_bad")), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = """

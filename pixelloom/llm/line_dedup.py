@@ -13,8 +13,8 @@ one class and gives its classes as stars. Near lines' texts are fetched by their
 counted number is at most `BROADCAST_IDS`.
 
 Defined cases: blank lines stay as they are and are never compared; lines shorter than tau + 1 characters only match equal
-lines; a null or empty text is one blank line; rows with the same doc_id are treated alike, so equal rows keep or lose the same
-lines; equal lines within a document count as repeats; an empty table gives an empty result; extra columns are ignored, or
+lines; a null or empty text is one blank line; rows with the same doc_id are treated alike (null, which comes first, too), so equal
+rows keep or lose the same lines; equal lines within a document count as repeats; an empty table gives an empty result; extra columns are ignored, or
 kept by dedup_lines().
 """
 
@@ -257,7 +257,8 @@ def line_digests(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for _, n, _ in got], pa.int64()), pa.array([n for _, _, n in got], pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.join(first_lines(d, tau), "doc_id", "left").select("doc_id", "text", "stay").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
+    stay = first_lines(d, tau).withColumnRenamed("doc_id", "of")
+    return d.join(stay, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "stay").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -275,5 +276,5 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
             out = pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(names)], names)
             yield out.filter(pa.array([t is None or k.strip(" \n") != "" or not t.strip(" \n") for t, k in zip(texts, kept)], pa.bool_()))
 
-    joined = docs.join(stay, docs["doc_id"] == stay["_of"], "left").select(*[docs[c] for c in names], "_stay")
+    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_of"]), "left").select(*[docs[c] for c in names], "_stay")
     return joined.mapInArrow(run, docs.schema)

@@ -392,3 +392,28 @@ def test_kth_largest(spark):
     for k in (1, 2, 100, 269, 540, 900):
         assert importance.kth_largest(df, "v", k) == sorted(v, reverse=True)[min(k, len(v)) - 1]
     assert importance.kth_largest(df, "v", 0) is None
+
+
+def test_null_ids(spark):
+    rows = [(None, "a line that comes twice here\nown line of the first", None), (None, None, None), (3, "a line that comes twice here", None), (4, "item words are one two three four five six seven eight", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lines = sorted(line_dedup.line_digests(docs).collect(), key=lambda r: (r.doc_id or 0, r.n_lines))
+    assert [r.n_removed for r in lines] == [0, 0, 1, 0]
+    bench = spark.createDataFrame([(1, "own line of the first"), (None, "one two three four five six seven eight"), (2, "one two three four five six seven")], "item_id long, text string")
+    hit = {(r.doc_id, r.n_words): r.n_hit for r in decontamination.contamination(docs, bench).collect()}
+    assert hit[None, 11] == 5 and hit[4, 11] == 8
+    assert decontamination.drop_contaminated(docs, bench).where("doc_id = 4").count() == 0
+    for df in (token_counts.token_counts(docs, PIECES), token_files.token_digests(docs, BYTES), piece_codec.round_trip(docs, PIECES), fingerprints.edited_likeness(docs), suffix_dedup.removal_digests(docs), language_id.cross_checked(docs), simhash_dedup.near_duplicates(docs)):
+        assert len(df.collect()) == 4
+    labels = spark.createDataFrame([(None, 1), (4, None), (3, 1)], "doc_id long, quality int")
+    assert importance.scores(docs, labels).count() == 4 and importance.keep_good(docs, labels).count() > 0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    long = "\n".join(words(rng, 40) for _ in range(900))
+    docs = spark.createDataFrame([(1, long), (2, long[1000:] + " end"), (3, "x" * 200_000)], "doc_id long, text string")
+    got = by_id(suffix_dedup.removal_digests(docs))
+    assert got[2].n_removed >= len(long) - 1000 - 49 and got[3].n_removed == 0
+    assert by_id(line_dedup.line_digests(docs))[2].n_removed >= 890
+    assert by_id(token_counts.token_counts(docs, PIECES))[3].n_tokens == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode("x" * 200_000))
