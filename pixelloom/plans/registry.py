@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
 from pixelloom.operators import blocks, corpus, distortion, histograms, images, lossy, planning, rate_distortion, stencils
-from pixelloom.sources.fixtures import STANDARD, hidden_rgb, image, pixels, pixels_sql
+from pixelloom.sources.fixtures import hidden_rgb, image, pixels
 
 SMALL = ["gradient128", "flat128", "alpha128"]
-SIZES = {name: (w, h) for name, w, h, *_ in STANDARD}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
