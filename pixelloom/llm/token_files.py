@@ -14,40 +14,78 @@ doc_ids come first; an empty table gives an empty result; extra columns are igno
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.base import byte_groups, id_and_text, shared_path
-from pixelloom.llm.token_counts import byte_level, byte_level_parts
+from pixelloom.llm.token_counts import _SEPARATORS, byte_level
 
 #: Fixed sizes of the file format.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
-MEMO_PARTS = 500_000
 GROUP_CHARS = 2_000_000
+#: Parts that a worker remembers at most; then it starts anew. About 180 MB.
+MEMO_PARTS = 900_000
+#: Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PARTS = re.compile(r"\s*\S+|\s+")
+#: A comma or full stop that does not follow a letter or digit, white space before white space or the end, other white space.
+_JOINS = re.compile(r"[,.](?<![^\W_][,.])|[ \n](?=\s|$)|[^\S \n]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable in Latin-1, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
 class Ids(dict):
-    """Part of a text -> its ids as 32-bit little-endian bytes; filled by the tokenizers library."""
+    """Part of a text -> its ids as 32-bit little-endian bytes, from the library's model; at most MEMO_PARTS of them.
+
+    A part is one pre-token or a few. Texts are cut before each space, comma and full stop and around each line break, where no
+    pre-token can reach across; texts in which one of these stands where it could join others are cut before white space only.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer, self.special, self.splits = byte_level(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
-    def parts(self, text: str) -> list[str]:
-        return byte_level_parts(text, self.special) if self.splits else [text] if text else []
+    def _token(self, token: str) -> list[int]:
+        raw = token.encode("utf-8")
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self) > MEMO_PARTS:
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMO_PARTS:
             self.clear()
-        new = [p for p in parts if p not in self]
-        self.update(zip(new, (np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        word = part[1:] if part[:1] == " " else part
+        if word.isascii() and word.isalpha():
+            ids = self._token(part)
+        else:
+            ids = [i for t in _PATTERN.findall(part) for i in self._token(t)]
+        self[part] = out = array("i", ids).tobytes()
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.splits or any(s in text for s in self.special) or _SEPARATORS.search(text):
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if _JOINS.search(text) or "\0" in text:
+            parts = _PARTS.findall(text)
+        else:
+            parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").split("\0")
+        return b"".join(map(self.__getitem__, parts))
 
 
 @cache
@@ -58,9 +96,12 @@ def ids_of(path: str) -> Ids:
 def encode_batch(texts: list[str], path: str, end_id: int) -> Iterator[list[bytes]]:
     known, end = ids_of(path), np.array([end_id], "<i4").tobytes()
     for a, b in byte_groups(texts, GROUP_CHARS):
-        split = [known.parts(t) for t in texts[a:b]]
-        known.learn(set().union(*split))
-        yield [b"".join(map(known.__getitem__, parts)) + end for parts in split]
+        gc.disable()  # nothing here is cyclic, and collections would walk the whole memo
+        try:
+            out = [known.encode(t) + end for t in texts[a:b]]
+        finally:
+            gc.enable()
+        yield out
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
