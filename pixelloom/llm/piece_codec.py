@@ -32,6 +32,8 @@ from pixelloom.llm.base import byte_groups, id_and_text
 SPACE = "▁"
 #: Words a worker remembers at most; then it starts anew. Bounds memory at about 150 MB.
 MEMO_WORDS = 500_000
+#: The same within a pipeline, whose workers also hold what other stages left; forgotten after each task.
+STAGE_WORDS = 150_000
 GROUP_CHARS = 2_000_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -102,12 +104,12 @@ class Agenda:
 class WordMemo(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, most: int):
         super().__init__()
-        self.sp, self.agenda, self.differing = processor(model_path), Agenda(model_path), 0
+        self.sp, self.agenda, self.most, self.differing = processor(model_path), Agenda(model_path), most, 0
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.most:
             self.clear()
         new = [w for w in words if w not in self]
         # The library puts a space mark before its input; a run's own first mark goes for it. A lone mark can't be asked for.
@@ -121,13 +123,13 @@ class WordMemo(dict):
 
 
 @cache
-def memo(model_path: str) -> WordMemo:
-    return WordMemo(model_path)
+def memo(model_path: str, most: int = MEMO_WORDS) -> WordMemo:
+    return WordMemo(model_path, most)
 
 
-def encode_batch(texts: list[str], model_path: str) -> list[bytes]:
-    """Ids of each text, without begin and end ids."""
-    known, out = memo(model_path), []
+def encode_batch(texts: list[str], model_path: str, most: int = MEMO_WORDS) -> list[bytes]:
+    """Ids of each text, without begin and end ids. most: words to remember."""
+    known, out = memo(model_path, most), []
     for a, b in byte_groups(texts, GROUP_CHARS):
         split = [words_of(t) for t in texts[a:b]]
         known.learn(set().union(*split))
@@ -193,10 +195,11 @@ def reencode_texts(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(names.index("text")).to_pylist()
-            ids = encode_batch([t or "" for t in texts], model_path)
+            ids = encode_batch([t or "" for t in texts], model_path, STAGE_WORDS)
             back = pa.array([None if t is None else d for t, d in zip(texts, decode_batch(ids, model_path))], pa.string())
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             columns = [back if c == "text" else b.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, counts], [*names, "n_tokens"])
+        memo(model_path, STAGE_WORDS).clear()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))
