@@ -118,15 +118,23 @@ class _Sweep:
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """Common prefixes of pairs of suffixes, up to depth. The text ends with a symbol that is nowhere else."""
+    bits = max(1, int(text.max()).bit_length())
+    n = len(text)
+    each = max(1, min(depth, 52 // bits, n))  # symbols in one word, few enough for an exact double
+    word = np.zeros(n, np.int64)
+    for k in range(each):
+        word <<= bits
+        word[: n - k] |= text[k:]
     out, open_ = np.zeros(len(a), np.uint16), np.arange(len(a))
-    last = len(text) - 1
-    for d in range(depth):
-        same = text[np.minimum(a[open_] + d, last)] == text[np.minimum(b[open_] + d, last)]
-        open_ = open_[same]
+    for d in range(0, depth, each):
+        x = word[np.minimum(a[open_] + d, n - 1)] ^ word[np.minimum(b[open_] + d, n - 1)]
+        differ = x != 0
+        out[open_[differ]] = d + each - 1 - (np.frexp(x[differ].astype(np.float64))[1] - 1) // bits
+        open_ = open_[~differ]
         if not len(open_):
             break
-        out[open_] = d + 1
-    return out
+    out[open_] = depth
+    return np.minimum(out, depth)
 
 
 def _names(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, symbols: int, depth: int) -> np.ndarray:

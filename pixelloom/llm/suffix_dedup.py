@@ -3,11 +3,12 @@
 Every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id is removed; strings are
 judged on the input.
 
+0. A document whose whole text a smaller document has loses all of it and takes no further part.
 1. Each window of `length` bytes has a minimizer: the smallest hash among its `gram`-byte grams. Equal windows have equal
    minimizers, so a window whose minimizer lives in one document only cannot repeat elsewhere. This step only finds where to look
    and drops no repeat.
-2. Consecutive windows with one minimizer that several documents have form a stretch. Equal stretches collapse, with the smallest
-   and largest doc_id that holds them; so a passage in a third of all documents is one row before it is sorted.
+2. Consecutive windows with one minimizer that several documents have form a stretch. Equal stretches collapse within each task, with the
+   smallest and largest doc_id that holds them; so a passage in a third of all documents is a row for each task before it is sorted.
 3. Stretches meet by minimizer and are joined into shard texts, whose suffixes are sorted by external induced sorting with
    common-prefix values. Suffixes that agree in `length` bytes are one string; the smallest doc_id among them is its first document.
 4. Every occurrence of a stretch learns from that which of its windows start in a smaller document too, and the covered bytes go.
@@ -38,7 +39,8 @@ LENGTH, GRAM = 50, 20
 SHARD_BYTES = 2_000_000
 #: Documents whose ids may be broadcast; else the texts shuffle.
 BROADCAST_IDS = 1_000_000
-SEEN = 300_000
+#: Kinds of stretches that a task gathers before it gives them out.
+KINDS = 200_000
 #: Fixed odd multipliers of the hash.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,11 +113,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of windows with a shared minimizer. Their bytes come with the first row of each kind that a task sees."""
-    seen: set[bytes] = set()
+    """Stretches of windows with a shared minimizer: a row for each occurrence, and one with the bytes for each kind that the task saw, with its smallest and largest document."""
+    kinds: dict[bytes, list] = {}
     digest = xxhash.xxh3_128_digest
     for b in batches:
-        rows: list[tuple] = []
+        names: list[bytes] = []
+        docs: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
+        starts: list[np.ndarray] = []
         for doc, text, anchors in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("anchors")):
             data = text.encode("utf-8", "surrogatepass")
             if len(data) < LENGTH:
@@ -125,25 +130,45 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
             ends = np.r_[at[1:], len(m)]
             live = np.isin(m[at], anchors.values.to_numpy())
-            for a, s, e in zip(m[at][live].tolist(), at[live].tolist(), ends[live].tolist()):
+            at, ends = at[live], ends[live]
+            for a, s, e in zip(m[at].tolist(), at.tolist(), ends.tolist()):
                 x = data[s : e + LENGTH - 1]
                 k = digest(x)
-                new = k not in seen
-                if new:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(k)
-                rows.append((a, k, doc, h, s, x if new else None))
-            if len(rows) > 50_000:
-                yield _rows(rows)
-                rows = []
-        if rows:
-            yield _rows(rows)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["anchor", "stretch", "doc_id", "text_hash", "start", "bytes"])
+                names.append(k)
+                kind = kinds.get(k)
+                if kind is None:
+                    kinds[k] = [a, doc, doc, x]
+                elif doc < kind[1]:
+                    kind[1] = doc
+                elif doc > kind[2]:
+                    kind[2] = doc
+            docs.append(np.full(len(at), doc, np.int64))
+            hashes.append(np.full(len(at), h, np.int64))
+            starts.append(at.astype(np.int32))
+            if len(names) > 100_000:
+                yield _occurrences(names, docs, hashes, starts)
+                names, docs, hashes, starts = [], [], [], []
+            if len(kinds) > KINDS:
+                yield _kinds(kinds)
+                kinds = {}
+        if names:
+            yield _occurrences(names, docs, hashes, starts)
+    if kinds:
+        yield _kinds(kinds)
+
+
+COLUMNS = ["anchor", "stretch", "doc_id", "text_hash", "start", "last_doc", "bytes"]
+
+
+def _occurrences(names: list, docs: list, hashes: list, starts: list) -> pa.RecordBatch:
+    n = len(names)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(names, pa.binary()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(starts)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], COLUMNS)
+
+
+def _kinds(kinds: dict[bytes, list]) -> pa.RecordBatch:
+    anchor, first, last, raw = zip(*kinds.values())
+    n = len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(list(kinds), pa.binary()), pa.array(first, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(last, pa.int64()), pa.array(raw, pa.binary())], COLUMNS)
 
 
 def first_documents(stretches: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -155,7 +180,7 @@ def first_documents(stretches: list[bytes], docs: np.ndarray, length: int = LENG
     text[starts + sizes] = 1
     text[-1] = 0
     order, prefix = suffix_order(text, length)
-    owner = np.searchsorted(starts, order, side="right") - 1
+    owner = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), 0)[order]
     inside = order + length <= starts[owner] + sizes[owner]
     inside[order >= len(text) - 1] = False
     group = np.cumsum(np.r_[True, prefix[1:] < length]) - 1
@@ -177,7 +202,10 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         names = t.column("stretch").combine_chunks().filter(pa.array(keep))
         return pa.RecordBatch.from_arrays([names if isinstance(names, pa.Array) else names.combine_chunks(), pa.array([f for f, k in zip(firsts, keep) if k], pa.list_(pa.int64()))], ["stretch", "firsts"])
 
-    for t in whole_groups(batches, "anchor", at_least=25_000):
+    for rows in whole_groups(batches, "anchor", at_least=40_000):
+        # tasks have given each kind once at most, or a few times; here they meet
+        met = rows.group_by(["anchor", "stretch", "bytes"]).aggregate([("doc_id", "min"), ("last_doc", "max")])
+        t = met.rename_columns({"doc_id_min": "first_doc", "last_doc_max": "last_doc"}).sort_by("anchor").combine_chunks()
         anchor = t.column("anchor").to_numpy()
         size = np.cumsum(np.array([len(x) + 1 for x in t.column("bytes").to_pylist()], np.int64))
         ends = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
@@ -225,9 +253,12 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _release() -> None:
-    """Lets Spark's cleaner find the shuffle files of finished steps, so that disks hold one step's files at a time."""
-    gc.collect()
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash): documents whose whole text a smaller document has, by 128 bits of its hash and its length."""
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("size"))
+    keyed = keyed.where(F.col("size") >= LENGTH)
+    first = keyed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(first, ["h1", "h2", "size"]).where("doc_id > first").select("doc_id", "h1").distinct()
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -239,16 +270,19 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     anchors = known.mapInArrow(_anchors, "anchor long, doc_id long").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id")
     shared = materialize(anchors.mapInArrow(_shared, "anchor long, doc_id long"), "anchors")
     del anchors
-    _release()
+    gc.collect()
     jvm.gc()
     live = shared.groupBy("doc_id").agg(F.array_distinct(F.collect_list("anchor")).alias("anchors"))
-    found = materialize(known.join(live, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_stretches, "anchor long, stretch binary, doc_id long, text_hash long, start int, bytes binary"), "stretches")
-    _release()
+    found = materialize(known.join(live, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_stretches, "anchor long, stretch binary, doc_id long, text_hash long, start int, last_doc long, bytes binary"), "stretches")
+    del live
+    gc.collect()
     jvm.gc()
-    distinct = found.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("bytes").alias("bytes"))
-    firsts = materialize(distinct.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards, "stretch binary, firsts array<long>"), "firsts")
-    _release()
+    kinds = found.where("bytes IS NOT NULL").select("anchor", "stretch", "doc_id", "last_doc", "bytes")
+    firsts = materialize(kinds.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards, "stretch binary, firsts array<long>"), "firsts")
+    del kinds
+    gc.collect()
     jvm.gc()
+    found = found.where("bytes IS NULL")
     lost = found.select("stretch", "doc_id", "text_hash", "start").join(firsts, "stretch").mapInArrow(_removed, "doc_id long, text_hash long, a int, b int")
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
@@ -269,8 +303,15 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     d = id_and_text(docs, id_col, text_col)
     spark = d.sparkSession
-    ranges = materialize(repeated_ranges(d), "ranges")
-    _release()
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    # A copy of a smaller document's whole text loses all its bytes, and what it would make others lose its original does.
+    whole = materialize(copies(d).withColumnRenamed("doc_id", "copy_id"), "copies")
+    of = (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("h1"))
+    few = F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole  # counted; beyond it the same joins shuffle
+    rest = d.join(few, of, "left_anti")
+    gone = d.join(few, of, "left_semi").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    ranges = materialize(repeated_ranges(rest), "ranges")
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +327,10 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     per_doc = ranges.groupBy("doc_id").agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("ranges").alias("ranges"))
     if ranges.count() > BROADCAST_IDS:
-        return d.join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges").mapInArrow(run, schema)
+        return gone.union(rest.join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges").mapInArrow(run, schema))
     touched = F.broadcast(ranges.select("doc_id").distinct())  # counted: at most BROADCAST_IDS ids
-    some = d.join(touched, "doc_id", "left_semi").join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges")
-    others = d.join(touched, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(None).cast(per_doc.schema["ranges"].dataType).alias("ranges"))
-    return some.mapInArrow(run, schema).union(others.mapInArrow(run, schema))
+    some = rest.join(touched, "doc_id", "left_semi").join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges")
+    others = rest.join(touched, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(None).cast(per_doc.schema["ranges"].dataType).alias("ranges"))
+    return gone.union(some.mapInArrow(run, schema)).union(others.mapInArrow(run, schema))
