@@ -41,22 +41,29 @@ BROADCAST_IDS = 1_000_000
 STEPS = 2_000_000
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """A bit is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
+def shingle_hashes(text: str, width: int = 4) -> np.ndarray:
+    """XXH64 of every word shingle, repeated ones too; none for a text without words."""
     words = text.encode("utf-8", "replace").lower().split()  # ASCII only, as both are on bytes
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - width + 1)
     last = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     first = [0, *ends[: n - 1].tolist()]
     h64 = xxhash.xxh64_intdigest
-    h = np.array([h64(line[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+    return np.array([h64(line[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """A bit is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return 0
     total = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(h), 65536):
         total += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
