@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import tokenizers
@@ -102,6 +105,54 @@ def test_token_files_keep_order_and_columns(spark, docs):
     assert "ids" not in plan.split("ReadSchema")[-1]
 
 
+def test_token_ids_of_every_code_point():
+    """The library decides what a letter is; no Unicode table of another version has a say."""
+    own = token_files.ids_of(BYTES)
+    points = [chr(c) for c in range(0x33480) if not 0xD800 <= c < 0xE000]
+    for form in ("x{}'re", "{}, a.{}", "a {} b\n{} c,{}.", "{}{},{}"):
+        texts = [form.replace("{}", c) for c in points]
+        want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for at in range(0, len(texts), 50_000):
+            ids, n = own.encode(pa.array(texts[at : at + 50_000]))
+            assert n.tolist() == [len(w) for w in want[at : at + 50_000]] and ids.tolist() == [i for w in want[at : at + 50_000] for i in w]
+
+
+def test_token_ids_of_awkward_texts():
+    own, rng = token_files.ids_of(BYTES), random.Random(8)
+    bits = [" ", "\n", ",", ".", "'s", "a", "B", "9", " x", "é", "\t", "\x1f", "\u3000", "日", "👍", "<|endoftext|>", "!", "\0", "\u0345", "ſ", "\xa0", "\ufeff"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(40_000)] + ["word " * 100_000, "x" * 200_000]
+    ids, n = own.encode(pa.array(texts))
+    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_token_files_read_ranges(spark, docs, texts):
+    out = base.shared_path(spark, "tokens")
+    token_files.write_tokens(docs, BYTES, out, files=3)
+    hf = tokenizers.Tokenizer.from_file(BYTES)
+    whole = [i for _, t in texts for i in [*hf.encode(t or "", add_special_tokens=False).ids, 2]]
+    for start, stop in ((0, 10), (500, 9000), (len(whole) - 5, len(whole) + 100), (7, 7)):
+        rows = token_files.read_range(spark, out, start, stop).orderBy("start").collect()
+        assert [i for r in rows for i in r.ids] == whole[start:stop] and (not rows or rows[0].start == start)
+    assert token_files.file_number("part-100000-x.parquet") > token_files.file_number("part-99999-x.parquet")
+
+
+def test_token_files_have_the_set_format(spark, docs):
+    out = base.shared_path(spark, "tokens")
+    token_files.write_tokens(docs, BYTES, out, files=2)
+    for f in Path(out.removeprefix("file:")).glob("part-*.parquet"):
+        about = pq.ParquetFile(f).metadata
+        column = about.row_group(0).column(about.num_columns - 1)
+        assert set(column.encodings) & {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} and column.has_offset_index and column.has_column_index
+        assert all(about.row_group(g).total_byte_size <= 2 * token_files.ROW_GROUP_BYTES for g in range(about.num_row_groups))
+
+
+def test_equal_ids_follow_by_text(spark):
+    rows = [(5, "b b"), (5, "a"), (5, None), (2, "z")]
+    got = token_files.token_digests(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(2, 2), (5, 1), (5, 2), (5, 3)]
+
+
 def test_winnowing_guarantee():
     rng = random.Random(9)
     shared = "".join(rng.choice("abcdef ") for _ in range(fingerprints.GRAM + fingerprints.WINDOW - 1))
