@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,55 +44,115 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Intermediate tables of this program that are still there.
+_made: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
+    """Cuts the lineage: writes df to the shared folder and reads it back. The table stays until clear() or the end of the program.
+
+    What was shuffled for it goes at once, as nothing reads that again.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    _made[path] = spark
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of intermediate tables that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        for made in [m for m in _made if path.rpartition(":")[2].lstrip("/") == m.rpartition(":")[2].lstrip("/")]:
+            _delete(made)
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def made() -> set[str]:
+    """The folders of the intermediate tables that are still there."""
+    return set(_made)
+
+
+def clear(keep: set[str] = frozenset()) -> None:
+    """Deletes the intermediate tables but those to keep; results that were not written yet can't be read afterwards."""
+    for path in set(_made) - keep:
+        _delete(path)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        clear()
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like this one that is not taken; case plays no part."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns the operators need, so that clashing extra columns play no part; a null text is empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def byte_groups(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts with about `limit` characters each; one longer text is a range of its own."""
+def text_groups(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts with about `limit` UTF-8 bytes each; one longer text is a range of its own."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(pc.binary_length(texts.cast(pa.binary())).to_pylist()):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += n
     if start < len(texts):
         yield start, len(texts)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives freed memory back to the system after each task: the worker stays for later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return task
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_least: int = 200_000, shift: int = 0) -> Iterator[pa.Table]:
     """Tables of at least so many rows that never cut a run of equal keys (without their lowest `shift` bits); rows must come sorted by the key."""
     held: list[pa.Table] = []
-    rows = 0
+    rows, last = 0, None
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(pa.Table.from_batches([b]))
-        rows += b.num_rows
-        if rows < at_least:
-            continue
-        t = pa.concat_tables(held).combine_chunks()
-        k = t.column(key).to_numpy() >> shift
-        cut = int(np.searchsorted(k, k[-1], side="left"))
-        if cut:
-            yield t.slice(0, cut)
-            held, rows = [t.slice(cut)], t.num_rows - cut
-        else:
-            held = [t]
+        t = pa.Table.from_batches([b])
+        if rows >= at_least:
+            k = t.column(key).to_numpy() >> shift
+            if k[0] != last or k[-1] != last:  # else the whole batch goes on with the open run
+                cut = 0 if k[0] != last else int(np.searchsorted(k, last, side="right"))
+                if cut:
+                    held.append(t.slice(0, cut))
+                yield pa.concat_tables(held).combine_chunks()
+                held, rows, t = [], 0, t.slice(cut)
+        held.append(t)
+        rows += t.num_rows
+        last = t.column(key)[-1].as_py() >> shift
     if held:
         yield pa.concat_tables(held).combine_chunks()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import materialize
+from pixelloom.llm.base import drop, materialize
 
 
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -38,29 +38,28 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[up]), pa.array(ids[label[up]])], ["u", "v"])
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link to another; root is the smallest node of its class.
 
     links: two columns of long node ids. Rounds aggregate before they shuffle, join on the aggregated minimum (which AQE can
-    split when a node has very many links), and are written to the shared folder, so no lineage grows and a lost executor
+    split when a node has very many links), go on until nothing changes, and are written to the shared folder, so no lineage grows and a lost executor
     costs one round at most.
     """
     a, b = links.columns
     e = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = materialize(e.mapInArrow(_local_stars, "u long, v long").distinct(), "links")
     said = None
-    for _ in range(most_rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        before, e = e, materialize(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
+        drop(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == said:
             break
         said = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

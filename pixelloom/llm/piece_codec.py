@@ -27,14 +27,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pixelloom.llm.base import byte_groups, id_and_text
+from pixelloom.llm.base import id_and_text, text_groups, trimmed
 
 SPACE = "▁"
 #: Words a worker remembers at most; then it starts anew. Bounds memory at about 150 MB.
 MEMO_WORDS = 500_000
 #: The same within a pipeline, whose workers also hold what other stages left; forgotten after each task.
 STAGE_WORDS = 150_000
-GROUP_CHARS = 2_000_000
+GROUP_BYTES = 2_000_000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -126,11 +126,11 @@ def memo(model_path: str, most: int = MEMO_WORDS) -> WordMemo:
     return WordMemo(model_path, most)
 
 
-def encode_batch(texts: list[str], model_path: str, most: int = MEMO_WORDS) -> list[bytes]:
+def encode_batch(texts: pa.Array, model_path: str, most: int = MEMO_WORDS) -> list[bytes]:
     """Ids of each text, without begin and end ids. most: words to remember."""
     known, out = memo(model_path, most), []
-    for a, b in byte_groups(texts, GROUP_CHARS):
-        split = [words_of(t) for t in texts[a:b]]
+    for a, b in text_groups(texts, GROUP_BYTES):
+        split = [words_of(t) for t in texts.slice(a, b - a).to_pylist()]
         known.learn(set().union(*split))
         out += [b"".join(map(known.__getitem__, words)) for words in split]
     return out
@@ -148,11 +148,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         sp = processor(model_path)
         ends = [np.array([x], "<u4").tobytes() if begin_end else b"" for x in (sp.bos_id(), sp.eos_id())]
         for b in batches:
-            ids = [ends[0] + x + ends[1] for x in encode_batch(b.column("text").to_pylist(), model_path)]
+            ids = [ends[0] + x + ends[1] for x in encode_batch(b.column("text"), model_path)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     d = id_and_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -163,7 +163,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(decode_batch(b.column("ids").to_pylist(), model_path), pa.string())], ["doc_id", "text"])
 
     d = encoded.select("doc_id", "ids")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,13 +173,13 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         sp = processor(model_path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (sp.bos_id(), sp.eos_id()))
         for b in batches:
-            ids = [begin + x + end for x in encode_batch(b.column("text").to_pylist(), model_path)]
+            ids = [begin + x + end for x in encode_batch(b.column("text"), model_path)]
             shas = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(decode_batch([x], model_path)[0].encode("utf-8")).hexdigest() for x in ids]
+            back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decode_batch(ids, model_path)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     d = id_and_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def reencode_texts(docs: DataFrame, model_path: str) -> DataFrame:
@@ -193,12 +193,12 @@ def reencode_texts(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            ids = encode_batch([t or "" for t in texts], model_path, STAGE_WORDS)
-            back = pa.array([None if t is None else d for t, d in zip(texts, decode_batch(ids, model_path))], pa.string())
+            texts = b.column(names.index("text"))
+            ids = encode_batch(texts.fill_null(""), model_path, STAGE_WORDS)
+            back = pa.array([d if here else None for here, d in zip(texts.is_valid().to_pylist(), decode_batch(ids, model_path))], pa.string())
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             columns = [back if c == "text" else b.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, counts], [*names, "n_tokens"])
         memo(model_path, STAGE_WORDS).clear()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField("n_tokens", LongType())]))

@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from pixelloom.llm.base import byte_groups, id_and_text
+from pixelloom.llm.base import id_and_text, text_groups, trimmed
 from pixelloom.llm.piece_codec import SPACE, processor, words_of
 
 MEMO_PARTS = 700_000
-GROUP_CHARS = 2_000_000
+GROUP_BYTES = 2_000_000
 _PARTS = re.compile(r"\s*\S+|\s+")
 _SPACE_BEFORE_SPACE = re.compile(r" (?=\s|$)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -49,7 +49,7 @@ def byte_level_parts(text: str, special: tuple[str, ...] = ()) -> list[str]:
 def byte_level(path: str) -> tuple[Tokenizer, tuple[str, ...], bool]:
     """The tokenizer, its special tokens, and whether byte_level_parts holds for it."""
     t = Tokenizer.from_file(path)
-    return t, tuple(str(x) for x in t.get_added_tokens_decoder().values() for x in [x.content]), type(t.pre_tokenizer).__name__ == "ByteLevel" and not t.pre_tokenizer.add_prefix_space and t.normalizer is None
+    return t, tuple(str(x) for x in t.get_added_tokens_decoder().values() for x in [x.content]), type(t.pre_tokenizer).__name__ == "ByteLevel" and t.pre_tokenizer.use_regex and not t.pre_tokenizer.add_prefix_space and t.normalizer is None
 
 
 class Lengths(dict):
@@ -83,10 +83,10 @@ def lengths(path: str) -> Lengths:
     return Lengths(path)
 
 
-def count_batch(texts: list[str], path: str) -> list[int]:
+def count_batch(texts: pa.Array, path: str) -> list[int]:
     known, out = lengths(path), []
-    for a, b in byte_groups(texts, GROUP_CHARS):
-        split = [known.parts(t) for t in texts[a:b]]
+    for a, b in text_groups(texts, GROUP_BYTES):
+        split = [known.parts(t) for t in texts.slice(a, b - a).to_pylist()]
         known.learn(set().union(*split))
         out += [sum(map(known.__getitem__, parts)) for parts in split]
     return out
@@ -98,8 +98,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column("text")
-            n = count_batch(text.to_pylist(), path)
+            n = count_batch(text, path)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.binary_length(text.cast(pa.binary())).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     d = id_and_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
