@@ -3,17 +3,18 @@
 Words are runs of ASCII digits, ASCII letters (lower-cased) and all other characters beyond ASCII. A test phrase is a window
 of `width` consecutive words of an item, or the whole item if it has fewer.
 
-1. The frequency of every test term over the corpus is counted. A phrase with a term of frequency 0 cannot occur and goes.
-2. The rarest term of each phrase is its anchor. A posting of an anchor is (term, doc_id, pos) with the words that stand
-   up to width - 1 (+ slop) places before and behind it, so the other terms' lists can be intersected with it at their
-   offsets without another read of the corpus. Postings of common terms that are nobody's anchor are never stored. The
-   index is written to the shared folder.
-3. Phrases are looked up by anchor; the offset-adjusted neighbours of the posting decide. Exact matches have every term at
-   its offset; proximity matches have all terms within the context.
-
-Only the test terms (not the corpus) are ever broadcast, and only while their counted number stays under a limit; beyond it
-the same joins shuffle. No step makes more rows than the corpus has words or the anchors have postings; matches of a document
-are gathered as intervals.
+1. The index holds a posting (term, doc_id, text_key, pos) for every word of the corpus. Each part of the corpus writes its own
+   postings, sorted by term, to the shared folder: no posting is shuffled, and the index serves any benchmark. text_key tells texts
+   with the same doc_id apart.
+2. The frequency of every test term comes from the index. A phrase with a term of frequency 0 cannot occur and goes. The terms of
+   a phrase are ranked from the rarest on.
+3. The lists of the rarest and second rarest terms are read and intersected at their offsets. What is left is intersected with
+   the lists of all other terms, of which only the postings of documents still in question are read. An exact match has every
+   term at its offset; a proximity match has every term within the phrase's width and `slop` of the rarest one, in any order.
+
+Lists are joined by document and place, so a term that a third of all words are is spread like any other. Test terms and the
+documents in question are broadcast only while their counted bytes stay under `BROADCAST_BYTES`; beyond it the same joins shuffle.
+No step makes more rows than the corpus has words or the lists have postings; matches of a document are gathered as intervals.
 
 Defined cases: a null or empty text has no words; an item without words has no phrase and no match; phrases that several
 items share count for each of them; rows with one doc_id (null too) share
@@ -30,10 +31,8 @@ from pixelloom.llm.base import id_and_text, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Test terms that may be broadcast at most; with about 50 bytes each that is 10 MB.
-BROADCAST_TERMS = 200_000
-#: Ids of contaminated documents that may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: Counted bytes of terms or document ids that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -53,79 +52,105 @@ def phrases(items: DataFrame, width: int = 8, id_col: str = "item_id", text_col:
     return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("terms")).groupBy("terms").agg(F.collect_set("item").alias("items"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+def _maybe_broadcast(df: DataFrame, *columns: str) -> DataFrame:
+    """df, broadcast if its rows, with 16 bytes for each and the text of the string columns, are few; df must be cheap to count."""
+    kinds = dict(df.dtypes)
+    size = F.lit(16)
+    for c in columns:
+        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if kinds[c] == "string" else F.lit(8))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
-    """(term, freq) over all words of all documents, for the given terms (one column, distinct)."""
-    w = docs.select(F.explode(words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
-    return w.join(_maybe_broadcast(terms, rows), "term").groupBy("term").agg(F.count("*").alias("freq"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, doc_id, text_key, pos): the stored postings of all words of all documents."""
+    d = id_and_text(docs, id_col, text_col).select("doc_id", F.hash("text").alias("text_key"), words(F.col("text")).alias("w"))
+    p = d.select("doc_id", "text_key", F.posexplode("w").alias("pos", "word")).select(lowered(F.col("word")).alias("term"), "doc_id", "text_key", "pos")
+    return materialize(p.sortWithinPartitions(F.xxhash64("term")), "postings")
 
 
-def anchored(found: DataFrame, freq: DataFrame) -> DataFrame:
-    """(term, uses): for each anchor the phrases that it anchors, with its offset in them."""
-    each = found.withColumn("phrase", F.monotonically_increasing_id()).select("phrase", "terms", "items", F.posexplode("terms").alias("off", "term"))
-    each = each.join(freq, "term", "left")
-    by = Window.partitionBy("phrase")
-    rarest = each.withColumn("least", F.min(F.coalesce("freq", F.lit(0))).over(by)).withColumn("place", F.row_number().over(by.orderBy(F.coalesce("freq", F.lit(0)), "off")))
-    return rarest.where("place = 1 and least > 0").groupBy("term").agg(F.collect_list(F.struct("off", "terms", "items")).alias("uses"))
-
+def frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, freq) of the given terms (one column, distinct)."""
+    return index.select("term").join(_maybe_broadcast(terms, "term"), "term").groupBy("term").agg(F.count("*").alias("freq"))
 
-def postings(docs: DataFrame, terms: DataFrame, rows: int, reach: int) -> DataFrame:
-    """(term, doc_id, pos, n, first, near): every occurrence of the terms, with the words from place `first` on, up to `reach` on each side."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
-    w = w.select("doc_id", "w", "pos", lowered(F.col("word")).alias("term")).join(_maybe_broadcast(terms, rows), "term")
-    first = F.greatest(F.col("pos") - reach, F.lit(0))
-    near = F.transform(F.slice("w", first + 1, F.col("pos") + reach + 1 - first), lowered)
-    return w.select("term", "doc_id", "pos", F.size("w").alias("n"), first.alias("first"), near.alias("near"))
 
-
-def phrase_matches(index: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, found array of (start, size, items)): phrases that stand at their anchor's posting, every term at its offset."""
-    exact = F.filter(
-        "uses",
-        lambda u: (F.col("pos") - u["off"] >= 0) & (F.slice("near", F.greatest(F.col("pos") - u["off"] - F.col("first") + 1, F.lit(1)), F.size(u["terms"])) == u["terms"]),
-    )
-    hit = index.join(_maybe_broadcast(anchors, rows), "term").select("doc_id", "pos", exact.alias("uses")).where(F.size("uses") > 0)
-    return hit.select("doc_id", F.transform("uses", lambda u: F.struct((F.col("pos") - u["off"]).alias("start"), F.size(u["terms"]).alias("size"), u["items"].alias("items"))).alias("found"))
+def ranked(found: DataFrame, freq: DataFrame) -> DataFrame:
+    """(phrase, size, off, term, place): the terms of each phrase that can occur, place 1 the rarest."""
+    each = found.select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term")).join(freq, "term", "left")
+    by = Window.partitionBy("phrase")
+    known = each.withColumn("least", F.min(F.coalesce("freq", F.lit(0))).over(by)).where("least > 0")
+    return known.select("phrase", "size", "off", "term", F.row_number().over(by.orderBy("freq", "off")).alias("place"))
 
 
-def proximity_matches(index: DataFrame, anchors: DataFrame, rows: int, slop: int) -> DataFrame:
-    """(doc_id, pos, items): anchors with all terms of a phrase within its width plus slop, in any order.
+KEY = ["doc_id", "text_key"]
 
-    The index must have been built with a reach of width - 1 + slop or more.
-    """
 
-    def close(u: Column) -> Column:
-        reach = F.size(u["terms"]) - 1 + slop
-        lo = F.greatest(F.col("pos") - reach - F.col("first") + 1, F.lit(1))
-        around = F.slice("near", lo, F.col("pos") - F.col("first") + 2 + reach - lo)
-        return F.size(F.array_except(u["terms"], around)) == 0
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
-    hit = index.join(_maybe_broadcast(anchors, rows), "term").select("doc_id", "pos", F.filter("uses", close).alias("uses")).where(F.size("uses") > 0)
-    return hit.select("doc_id", "pos", F.array_distinct(F.flatten(F.transform("uses", lambda u: u["items"]))).alias("items"))
 
+def matches(index: DataFrame, terms: DataFrame, slop: int | None = None) -> DataFrame:
+    """(doc_id, text_key, start, phrase): places of the phrases, by the ranked terms. start is where the phrase's first word is.
 
-def build(docs: DataFrame, items: DataFrame, width: int = 8, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """The stored index of the phrases' anchors, the anchors, and how many there are."""
-    d = id_and_text(docs, id_col, text_col)
-    found = materialize(phrases(items, width, item_col, item_text), "phrases")
+    With a slop the terms need only be within size - 1 + slop places of the rarest one, in any order; start is then counted from
+    the rarest one as if it were in its place.
+    """
+    reach = F.lit(0) if slop is None else F.col("size") - 1 + slop
+    lists = materialize(index.join(_maybe_broadcast(terms.where("place <= 2").select("term").distinct(), "term"), "term"), "lists")
+    first = lists.join(_maybe_broadcast(terms.where("place = 1"), "term"), "term").select(*KEY, (F.col("pos") - F.col("off")).alias("start"), F.col("pos").alias("at"), "phrase", "size")
+    first = first if slop is not None else first.where("start >= 0")
+    second = terms.where("place = 2").select("phrase", F.col("off").alias("off2"), F.col("term").alias("term2"))
+    asked = first.join(_maybe_broadcast(second, "term2"), "phrase", "left")
+    one = asked.where("term2 IS NULL").select(*KEY, "start", "at", "phrase", "size")
+    two = asked.where("term2 IS NOT NULL")
+    if slop is None:
+        two = two.withColumn("want", F.col("start") + F.col("off2"))
+        meet = (two["term2"] == lists["term"]) & (two["want"] == lists["pos"])
+    else:  # places are dealt into blocks of the largest reach; what is within it stands in the same block or next to it
+        widest = max(1, (terms.agg(F.max("size")).first()[0] or 1) - 1 + slop)
+        block = F.floor(F.col("at") / widest)
+        two = two.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+        lists = lists.withColumn("of", F.floor(F.col("pos") / widest))
+        meet = (two["term2"] == lists["term"]) & (two["block"] == lists["of"]) & (F.abs(two["at"] - lists["pos"]) <= reach)
+    two = two.join(lists, _same(two, lists) & meet, "left_semi").select(*KEY, "start", "at", "phrase", "size")
+    left = materialize(one.union(two).distinct(), "candidates")
+    rest = left.join(_maybe_broadcast(terms.where("place > 2").select("phrase", "off", "term"), "term"), "phrase")
+    inside = _maybe_broadcast(left.select("doc_id").distinct(), "doc_id")
+    terms_left = _maybe_broadcast(terms.where("place > 2").select("term").distinct(), "term")
+    other = index.join(terms_left, "term").join(inside, index["doc_id"].eqNullSafe(inside["doc_id"]), "left_semi").select(*[F.col(c).alias(f"p_{c}") for c in ("term", "doc_id", "text_key", "pos")])
+    here = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("text_key") == F.col("p_text_key")) & (F.col("term") == F.col("p_term"))
+    if slop is None:
+        met = rest.withColumn("want", F.col("start") + F.col("off")).join(other, here & (F.col("want") == F.col("p_pos")), "left_semi")
+    else:
+        block = F.floor(F.col("at") / widest)
+        near = rest.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+        met = near.join(other.withColumn("p_of", F.floor(F.col("p_pos") / widest)), here & (F.col("block") == F.col("p_of")) & (F.abs(F.col("at") - F.col("p_pos")) <= reach), "left_semi").drop("block").distinct()
+    whole = met.groupBy(*KEY, "start", "phrase", "size").agg(F.count("*").alias("n")).where("n = size - 2").select(*KEY, "start", "phrase")
+    return left.where("size <= 2").select(*KEY, "start", "phrase").union(whole)
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int, width: int = 8, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, start, items): places where all terms of a phrase stand near its rarest one, in any order."""
+    found, terms = test_phrases(index, items, width, item_col, item_text)
+    return matches(index, terms, slop).select("doc_id", "start", "phrase").distinct().join(found.select("phrase", "items"), "phrase").select("doc_id", "start", "items")
+
+
+def test_phrases(index: DataFrame, items: DataFrame, width: int = 8, item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(phrase, terms, items) of the benchmark, and the ranked terms of the phrases that can occur."""
+    found = materialize(phrases(items, width, item_col, item_text).withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     terms = found.select(F.explode("terms").alias("term")).distinct()
-    freq = materialize(frequencies(d, terms, terms.count()), "frequencies")
-    anchors = materialize(anchored(found, freq), "anchors")
-    n = anchors.count()
-    return materialize(postings(d, anchors.select("term"), n, width - 1 + slop), "postings"), anchors, n
+    freq = frequencies(index, materialize(terms, "terms"))
+    return found, materialize(ranked(found, freq), "ranked")
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, spans array of (start, size), items array) of the documents in which a phrase occurs."""
-    index, anchors, n = build(docs, items, width, 0, id_col, text_col, item_col, item_text)
-    found = phrase_matches(index, anchors, n)
-    span = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size")))
-    return found.groupBy("doc_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(span))).alias("spans"),
-        F.array_distinct(F.flatten(F.flatten(F.collect_set(F.array_distinct(F.transform("found", lambda x: x["items"])))))).alias("items"),
+    index = build_index(docs, id_col, text_col)
+    found, terms = test_phrases(index, items, width, item_col, item_text)
+    at = matches(index, terms).join(found.select("phrase", F.size("terms").alias("size"), "items"), "phrase")
+    return at.groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", "size")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
 
 
@@ -155,8 +180,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 8, least_items
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, least_items: int = 1) -> DataFrame:
     """The documents in which phrases of fewer than `least_items` items occur; all columns are kept."""
-    bad = materialize(hits(docs, items, width).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_bad")), "contaminated")
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+    bad = materialize(hits(docs, items, width).where(F.size("items") >= least_items).select("doc_id"), "contaminated")
+    bad = _maybe_broadcast(bad, "doc_id")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 ORACLE_SQL = """
