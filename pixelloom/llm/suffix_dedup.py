@@ -3,7 +3,7 @@
 Every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id is removed; strings are
 judged on the input.
 
-0. A document whose whole text a smaller document has loses all of it and takes no further part.
+0. A document whose whole text a smaller document has, by its SHA-256 and length, loses all of it and takes no further part.
 1. Each window of `length` bytes has a minimizer: the smallest hash among its `gram`-byte grams. Equal windows have equal
    minimizers, so a window whose minimizer lives in one document only cannot repeat elsewhere. This step only finds where to look
    and drops no repeat.
@@ -11,8 +11,11 @@ judged on the input.
    smallest and largest doc_id that holds them; so a passage in a third of all documents is a row for each task before it is sorted.
 3. Stretches meet by minimizer and are joined into shard texts, whose suffixes are sorted by external induced sorting with
    common-prefix values. Suffixes that agree in `length` bytes are one string; the smallest doc_id among them is its first document.
+   A minimizer with one kind of stretch has nothing to be sorted: all windows of the stretch start in its smallest document.
 4. Every occurrence of a stretch learns from that which of its windows start in a smaller document too, and the covered bytes go.
 
+A shard is a few megabytes as a rule; one minimizer with more makes a larger one, whose sort goes to disk beyond its budget (induced_sort).
+
 Defined cases: a null or empty text has no bytes; texts shorter than `length` lose nothing; rows with the same doc_id do not make each
 other's strings repeats; a row with a null doc_id loses nothing and makes nobody else lose; an empty table gives an empty result;
 extra columns are ignored.
@@ -20,19 +23,19 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import id_and_text, materialize, whole_groups
+from pixelloom.llm.base import drop, id_and_text, materialize, trimmed, whole_groups
 from pixelloom.llm.fingerprints import window_minima
-from pixelloom.llm.induced_sort import suffix_order
+from pixelloom.llm.induced_sort import Space, chunks, suffix_order
 
 LENGTH, GRAM = 50, 20
 #: Bytes of stretches that one suffix sort takes, unless one minimizer alone has more.
@@ -171,75 +174,89 @@ def _kinds(kinds: dict[bytes, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(list(kinds), pa.binary()), pa.array(first, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(last, pa.int64()), pa.array(raw, pa.binary())], COLUMNS)
 
 
-def first_documents(stretches: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every window of every stretch, the smallest of the documents whose stretches hold that window."""
+def first_runs(stretches: list[bytes], docs: np.ndarray, length: int = LENGTH, space: Space | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, a, b, doc): runs of windows a to b of a stretch whose smallest document, of those whose stretches hold the window, is doc."""
+    space = space or Space()
     sizes = np.array([len(s) for s in stretches], np.int64)
-    # symbol 1 parts stretches, 0 ends the text
-    text = np.frombuffer(b"\0".join(stretches) + b"\0\0", np.uint8).astype(np.int16) + 2
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+    # symbol 1 parts stretches, 0 ends the text
+    text = space.array(int(sizes.sum()) + len(sizes) + 1, np.int16)
+    for i, (at, s) in enumerate(zip(starts.tolist(), stretches)):
+        text[at : at + len(s)] = np.frombuffer(s, np.uint8)
+    for a, b in chunks(len(text)):
+        text[a:b] += 2
     text[starts + sizes] = 1
     text[-1] = 0
-    order, prefix = suffix_order(text, length)
-    owner = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), 0)[order]
-    inside = order + length <= starts[owner] + sizes[owner]
-    inside[order >= len(text) - 1] = False
-    group = np.cumsum(np.r_[True, prefix[1:] < length]) - 1
-    order, owner, group = order[inside], owner[inside], group[inside]
-    first = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(first, group, docs[owner])
-    least = np.zeros(len(text), np.int64)
-    least[order] = first[group]
-    return [least[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist())]
+    order, prefix = suffix_order(text, length, space)
+    groups = sum(int((prefix[a:b] < length).sum()) for a, b in chunks(len(text)))
+    first, least = space.array(groups, np.int64), space.array(len(text), np.int64)
+    for a, b in chunks(groups):
+        first[a:b] = np.iinfo(np.int64).max
+    for fill in (True, False):
+        base = -1
+        for a, b in chunks(len(text)):
+            place = np.asarray(order[a:b])
+            group = base + np.cumsum(prefix[a:b] < length)
+            base = int(group[-1])
+            owner = np.searchsorted(starts, place, side="right") - 1
+            inside = place + length <= starts[owner] + sizes[owner]
+            place, owner, group = place[inside], owner[inside], group[inside]
+            if fill and len(group):
+                heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                first[group[heads]] = np.minimum(first[group[heads]], np.minimum.reduceat(docs[owner], heads))
+            elif len(group):
+                least[place] = first[group]
+    out = []
+    for a, b in chunks(len(text)):  # runs are cut where a chunk ends, which the ranges do not mind
+        place = np.arange(a, b)
+        owner = np.searchsorted(starts, place, side="right") - 1
+        at = np.flatnonzero(place + length <= starts[owner] + sizes[owner])
+        if len(at):
+            value, owner = np.asarray(least[a:b])[at], owner[at]
+            heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
+            ends = np.r_[heads[1:], len(at)] - 1
+            out.append((owner[heads], a + at[heads] - starts[owner[heads]], a + at[ends] - starts[owner[heads]], value[heads]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stretch, firsts): first documents of each stretch's windows, where some occurrence can lose something."""
+    """(stretch, a, b, first): runs of each stretch's windows with their first document, where some occurrence can lose something."""
+    names = ["stretch", "a", "b", "first"]
 
-    def shard(t: pa.Table) -> pa.RecordBatch:
-        docs, last = t.column("first_doc").to_numpy(), t.column("last_doc").to_numpy()
-        firsts = first_documents(t.column("bytes").to_pylist(), docs)
-        keep = np.array([bool((f < x).any()) for f, x in zip(firsts, last)], bool)
-        names = t.column("stretch").combine_chunks().filter(pa.array(keep))
-        return pa.RecordBatch.from_arrays([names if isinstance(names, pa.Array) else names.combine_chunks(), pa.array([f for f, k in zip(firsts, keep) if k], pa.list_(pa.int64()))], ["stretch", "firsts"])
+    def rows(stretch: pa.Array, owner: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        live = first < last[owner]
+        return pa.RecordBatch.from_arrays([stretch.take(pa.array(owner[live])), pa.array(a[live].astype(np.int32)), pa.array(b[live].astype(np.int32)), pa.array(first[live])], names)
 
-    for rows in whole_groups(batches, "anchor", at_least=40_000):
+    for t in whole_groups(batches, "anchor", at_least=40_000):
         # tasks have given each kind once at most, or a few times; here they meet
-        met = rows.group_by(["anchor", "stretch", "bytes"]).aggregate([("doc_id", "min"), ("last_doc", "max")])
-        t = met.rename_columns({"doc_id_min": "first_doc", "last_doc_max": "last_doc"}).sort_by("anchor").combine_chunks()
+        raw = t.column("stretch").combine_chunks()
+        raw = raw if isinstance(raw, pa.Array) else raw.chunk(0)
+        name = np.frombuffer(b"".join(raw.to_pylist()), np.int64).reshape(-1, 2)
         anchor = t.column("anchor").to_numpy()
-        size = np.cumsum(np.array([len(x) + 1 for x in t.column("bytes").to_pylist()], np.int64))
-        ends = np.r_[np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
-        begin, base = 0, 0
-        for i, e in enumerate(ends.tolist()):
-            following = ends[i + 1] if i + 1 < len(ends) else None
-            if following is None or size[following - 1] - base > SHARD_BYTES:
-                yield shard(t.slice(begin, e - begin))
-                begin, base = e, size[e - 1]
-
-
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, a, b): byte ranges that go, one or few an occurrence."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        lists = b.column("firsts")
-        values, off = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-        n = np.diff(off)
-        row = np.repeat(np.arange(b.num_rows), n)
-        values = values[off[0] : off[-1]]
-        place = np.arange(len(row)) - np.repeat(off[:-1] - off[0], n)
-        hit = np.flatnonzero(values < b.column("doc_id").to_numpy()[row])
-        if not len(hit):
+        order = np.lexsort((name[:, 1], name[:, 0], anchor))
+        anchor, name = anchor[order], name[order]
+        heads = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]).any(axis=1)])
+        docs = np.minimum.reduceat(t.column("doc_id").to_numpy()[order], heads)
+        last = np.maximum.reduceat(t.column("last_doc").to_numpy()[order], heads)
+        kept = pa.array(order[heads])
+        stretch, data = raw.take(kept), t.column("bytes").take(kept).combine_chunks()
+        data = data if isinstance(data, pa.Array) else data.chunk(0)
+        anchor, size = anchor[heads], pc.binary_length(data).to_numpy().astype(np.int64)
+        alone = np.r_[True, anchor[1:] != anchor[:-1]] & np.r_[anchor[1:] != anchor[:-1], True]
+        one = np.flatnonzero(alone)
+        yield rows(stretch, one, np.zeros(len(one), np.int64), size[one] - LENGTH, docs[one], last)
+        many = np.flatnonzero(~alone)
+        if not len(many):
             continue
-        r, p = row[hit], place[hit]
-        new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)]
-        at = np.flatnonzero(new)
-        ends = np.r_[at[1:], len(r)] - 1
-        start = b.column("start").to_numpy().astype(np.int64)[r[at]]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").take(pa.array(r[at])), b.column("text_hash").take(pa.array(r[at])), pa.array((start + p[at]).astype(np.int32)), pa.array((start + p[ends] + LENGTH).astype(np.int32))],
-            ["doc_id", "text_hash", "a", "b"],
-        )
+        total = np.cumsum(size[many] + 1)
+        ends = np.r_[np.flatnonzero(anchor[many][1:] != anchor[many][:-1]) + 1, len(many)]
+        begin = 0
+        for i, e in enumerate(ends.tolist()):
+            if i + 1 == len(ends) or total[ends[i + 1] - 1] - (total[begin - 1] if begin else 0) > SHARD_BYTES:
+                mine = many[begin:e]
+                owner, a, b, first = first_runs(data.take(pa.array(mine)).to_pylist(), docs[mine])
+                yield rows(stretch.take(pa.array(mine)), owner, a, b, first, last[mine])
+                begin = e
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -254,37 +271,37 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash): documents whose whole text a smaller document has, by 128 bits of its hash and its length."""
-    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("size"))
-    keyed = keyed.where(F.col("size") >= LENGTH)
-    first = keyed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(first, ["h1", "h2", "size"]).where("doc_id > first").select("doc_id", "h1").distinct()
+    """(doc_id, copy_key): documents whose whole text a smaller document has, by SHA-256 and length.
+
+    Texts that over a thousandth of all documents have are a thousand at most: those are broadcast, the others meet by key.
+    """
+    keyed = docs.where("doc_id is not null").select("doc_id", whole_key(F.col("text")).alias("copy_key"), F.octet_length("text").alias("size"))
+    keyed = materialize(keyed.where(F.col("size") >= LENGTH).select("doc_id", "copy_key"), "text-keys")
+    first = materialize(keyed.groupBy("copy_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-texts")
+    hot = F.lit(max(1, keyed.count() // 1000))
+    large, small = F.broadcast(first.where(F.col("n") > hot)), first.where(F.col("n") <= hot)
+    in_large = keyed.join(large, "copy_key").where("doc_id > first").select("doc_id", "copy_key")
+    in_small = keyed.join(large, "copy_key", "left_anti").join(small, "copy_key").where("doc_id > first").select("doc_id", "copy_key")
+    return in_large.union(in_small)
+
+
+def whole_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ranges array of (a, b)): byte ranges to remove of the documents that have any. docs: doc_id, text."""
-    spark = docs.sparkSession
-    jvm = spark.sparkContext._jvm.System
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchors, "anchor long, doc_id long").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id")
-    shared = materialize(anchors.mapInArrow(_shared, "anchor long, doc_id long"), "anchors")
-    del anchors
-    gc.collect()
-    jvm.gc()
+    anchors = known.mapInArrow(trimmed(_anchors), "anchor long, doc_id long").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id")
+    shared = materialize(anchors.mapInArrow(trimmed(_shared), "anchor long, doc_id long"), "anchors")
     live = shared.groupBy("doc_id").agg(F.array_distinct(F.collect_list("anchor")).alias("anchors"))
-    found = materialize(known.join(live, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_stretches, "anchor long, stretch binary, doc_id long, text_hash long, start int, last_doc long, bytes binary"), "stretches")
-    del live
-    gc.collect()
-    jvm.gc()
+    found = materialize(known.join(live, "doc_id").select("doc_id", "text", "anchors").mapInArrow(trimmed(_stretches), "anchor long, stretch binary, doc_id long, text_hash long, start int, last_doc long, bytes binary"), "stretches")
+    drop(shared)
     kinds = found.where("bytes IS NOT NULL").select("anchor", "stretch", "doc_id", "last_doc", "bytes")
-    firsts = materialize(kinds.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards, "stretch binary, firsts array<long>"), "firsts")
-    del kinds
-    gc.collect()
-    jvm.gc()
-    found = found.where("bytes IS NULL")
-    lost = found.select("stretch", "doc_id", "text_hash", "start").join(firsts, "stretch").mapInArrow(_removed, "doc_id long, text_hash long, a int, b int")
-    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    firsts = materialize(kinds.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_sorted_shards), "stretch binary, a int, b int, first long"), "firsts")
+    lost = found.where("bytes IS NULL").select("stretch", "doc_id", "text_hash", "start").join(firsts, "stretch").where("first < doc_id")
+    return lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + LENGTH).alias("b"))).alias("ranges"))
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
@@ -302,17 +319,14 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int, int]
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     d = id_and_text(docs, id_col, text_col)
-    spark = d.sparkSession
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     # A copy of a smaller document's whole text loses all its bytes, and what it would make others lose its original does.
     whole = materialize(copies(d).withColumnRenamed("doc_id", "copy_id"), "copies")
-    of = (F.col("doc_id") == F.col("copy_id")) & (F.xxhash64("text") == F.col("h1"))
+    of = (F.col("doc_id") == F.col("copy_id")) & (whole_key(F.col("text")) == F.col("copy_key"))
     few = F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole  # counted; beyond it the same joins shuffle
     rest = d.join(few, of, "left_anti")
     gone = d.join(few, of, "left_semi").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     ranges = materialize(repeated_ranges(rest), "ranges")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,8 +343,8 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     per_doc = ranges.groupBy("doc_id").agg(F.collect_list("text_hash").alias("hashes"), F.collect_list("ranges").alias("ranges"))
     if ranges.count() > BROADCAST_IDS:
-        return gone.union(rest.join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges").mapInArrow(run, schema))
+        return gone.union(rest.join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges").mapInArrow(trimmed(run), schema))
     touched = F.broadcast(ranges.select("doc_id").distinct())  # counted: at most BROADCAST_IDS ids
     some = rest.join(touched, "doc_id", "left_semi").join(per_doc, "doc_id", "left").select("doc_id", "text", "hashes", "ranges")
     others = rest.join(touched, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(None).cast(per_doc.schema["ranges"].dataType).alias("ranges"))
-    return gone.union(some.mapInArrow(run, schema)).union(others.mapInArrow(run, schema))
+    return gone.union(some.mapInArrow(trimmed(run), schema)).union(others.mapInArrow(trimmed(run), schema))
