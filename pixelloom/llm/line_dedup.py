@@ -7,7 +7,8 @@ tau + 1 segments and probes, for every length it could match, the substrings tha
 length allow. Only keys where an indexed and a probing line meet go on; their lines are verified with a banded bit-parallel
 edit distance.
 
-A repeated line enters the join once per task. Lines that share a segment meet in cells of at most 2 x `CELL` lines; a larger
+A key that very many different lines share is split by a second segment: what is left of the lines without the first one is
+partitioned in the same way. A repeated line enters the join once per task. Lines that share a segment meet in cells of at most 2 x `CELL` lines; a larger
 group is dealt into parts and each pair of parts is a cell of its own. A cell skips pairs that it already knows to be of
 one class and gives its classes as stars. Near lines' texts are fetched by their ids, which are broadcast only while their
 counted number is at most `BROADCAST_IDS`.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import id_and_text, materialize, whole_groups
+from pixelloom.llm.base import fresh, id_and_text, materialize, trimmed, whole_groups
 from pixelloom.llm.components import components
 
 TAU = 2
@@ -39,6 +40,8 @@ CELL = 256
 BROADCAST_IDS = 300_000
 #: Lines that a task remembers so as to give each once.
 SEEN = 400_000
+#: The sample that tells hot keys, and how many of them are split.
+ONE_IN, MOST_HOT = 64, 50_000
 SEED = 42
 _KEY = ~1 & (1 << 64) - 1
 
@@ -70,10 +73,56 @@ def slices(length: int, tau: int) -> tuple[tuple[int, int, int, int], ...]:
     return tuple(out)
 
 
-def signatures(line: str, tau: int) -> list[int]:
-    """Keys of a line; the lowest bit tells indexed (0) from probing (1)."""
+@lru_cache(maxsize=20_000)
+def rest_slices(length: int, shorter: int, tau: int) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, segment) of the parts of what is left of a line without a segment: all its own if shorter is 0 or less, else those it probes."""
+    if shorter < 0:
+        return tuple((4 * s, 4 * (s + n), i) for i, (s, n) in enumerate(segments(length, tau)))
+    out = []
+    for i, (s, n) in enumerate(segments(length - shorter, tau)):
+        lo, hi = max(0, s - i, s + shorter - (tau - i)), min(length - n, s + i, s + shorter + (tau - i))
+        out += [(4 * x, 4 * (x + n), i) for x in range(lo, hi + 1)]
+    return tuple(out)
+
+
+def signatures(line: str, tau: int, hot: frozenset[int] = frozenset()) -> list[int]:
+    """Keys of a line; the lowest bit tells indexed (0) from probing (1).
+
+    A hot key gives way to keys of that key and a second segment: what is left of two lines without the segment they share
+    is within tau edits too, so the same partition holds for it.
+    """
     raw, h = line.encode("utf-32-le", "surrogatepass"), xxhash.xxh64_intdigest
-    return [h(raw[a:b], s) & _KEY | side for a, b, s, side in slices(len(raw) // 4, tau)]
+    size = len(raw) // 4
+    keys = [h(raw[a:b], s) & _KEY | side for a, b, s, side in slices(size, tau)]
+    if hot.isdisjoint(k & _KEY for k in keys):
+        return keys
+    out = []
+    for k, (a, b, s, side) in zip(keys, slices(size, tau)):
+        other, cut = s // (tau + 1), (b - a) // 4  # length of the indexed line, and of its segment
+        if k & _KEY not in hot or other - cut < tau + 1:
+            out.append(k)
+            continue
+        rest, base = raw[:a] + raw[b:], k & _KEY
+        out += [h(rest[x:y], base + 2 * i + 2 & (1 << 64) - 1) & _KEY | side for x, y, i in rest_slices(size - cut, size - other if side else -1, tau)]
+    return out
+
+
+def hot_keys(docs: DataFrame, tau: int) -> frozenset[int]:
+    """Keys that very many different lines share, as a sample of one document in `ONE_IN` tells; the most frequent `MOST_HOT` of them.
+
+    They have a bearing on the cost only: lines that share any other key meet in cells, however many they are.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = {x for t in b.column("text").to_pylist() for x in t.split("\n") if len(x) > tau and x.strip(" ")}
+            keys = [k & _KEY for x in lines for k in signatures(x, tau)]
+            ids = np.repeat(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), SEED) for x in lines], np.uint64), [len(slices(len(x), tau)) for x in lines])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids.view(np.int64))], ["key", "id"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0).select("text").mapInArrow(trimmed(sign), "key long, id long")
+    found = some.groupBy("key").agg(F.approx_count_distinct("id").alias("n")).where(F.col("n") > 8 * CELL // ONE_IN).orderBy(F.desc("n"), "key").limit(MOST_HOT)
+    return frozenset(r.key % (1 << 64) for r in found.collect())  # bounded by MOST_HOT
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -147,8 +196,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, line, size = key[keep], line[keep], np.repeat(size, size)[keep]
         small = size <= 2 * CELL
         cells, ids = [key[small]], [line[small]]
-        for g in np.unique(key[~small]):
-            members = line[key == g]
+        for a in np.flatnonzero(~small & np.r_[True, key[1:] != key[:-1]]).tolist():
+            g, members = key[a], line[a : a + size[a]]
             parts = -(-len(members) // CELL)
             part = np.arange(len(members)) % parts
             for o in range(parts):
@@ -183,6 +232,7 @@ def near_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """(a, b): links between ids (h1) of different lines within the allowed edits; they join exactly the classes of lines."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(docs, tau)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -199,7 +249,7 @@ def near_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(i)
-                            s = signatures(line, tau)
+                            s = signatures(line, tau, hot)
                             keys += s
                             ids.append(i)
                             counts.append(len(s))
@@ -211,8 +261,8 @@ def near_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
     def batch(keys: list[int], ids: list[int], counts: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), np.array(counts, np.int64)))], ["key", "id"])
 
-    signed = docs.select("text").mapInArrow(sign, "key long, id long")
-    cells = materialize(signed.repartition(n, F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_cells, "cell long, id long").distinct(), "cells")
+    signed = docs.select("text").mapInArrow(trimmed(sign), "key long, id long")
+    cells = materialize(signed.repartition(n, F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(trimmed(_cells), "cell long, id long").distinct(), "cells")
     near = materialize(cells.select("id").distinct(), "near-lines")
     count = near.count()
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
@@ -225,7 +275,7 @@ def near_links(docs: DataFrame, tau: int = TAU) -> DataFrame:
             found = [link for a, b in zip(cut[:-1], cut[1:]) for link in _verify(list(zip(ids[a:b], text[a:b])), tau)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return cells.join(texts, "id").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long").distinct()
+    return cells.join(texts, "id").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(verify), "a long, b long").distinct()
 
 
 def first_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -258,7 +308,7 @@ def line_digests(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_c
 
     kind = d.schema["doc_id"].dataType.simpleString()
     stay = first_lines(d, tau).withColumnRenamed("doc_id", "of")
-    return d.join(stay, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "stay").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
+    return d.join(stay, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "stay").mapInArrow(trimmed(run), f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -267,7 +317,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     A document that was blank before stays as it is.
     """
     names = docs.columns
-    stay = first_lines(id_and_text(docs), tau).withColumnRenamed("doc_id", "_of").withColumnRenamed("stay", "_stay")
+    of, lines = fresh("of", names), fresh("stay", names)
+    stay = first_lines(id_and_text(docs), tau).select(F.col("doc_id").alias(of), F.col("stay").alias(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -276,5 +327,5 @@ def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
             out = pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(names)], names)
             yield out.filter(pa.array([t is None or k.strip(" \n") != "" or not t.strip(" \n") for t, k in zip(texts, kept)], pa.bool_()))
 
-    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_of"]), "left").select(*[docs[c] for c in names], "_stay")
-    return joined.mapInArrow(run, docs.schema)
+    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay[of]), "left").select(*[docs[c] for c in names], lines)
+    return joined.mapInArrow(trimmed(run), docs.schema)
