@@ -9,8 +9,10 @@ found does not depend on m.
 Each shard is a BK-tree: a child hangs at the integer Hamming distance to its parent, and a search follows only edges
 within the radius of its own distance. The trees of a task are built and searched together, level by level, on arrays.
 A shard tree meets its queries in one task through the shuffle: its size has no proven bound, so it is not broadcast to
-all tasks. A shard with more than `hot` fingerprints is dealt into parts; each pair of parts is a task of its own, with the
-tree of the one and the queries of the other. A task gives the classes it found as stars, never all pairs.
+all tasks. A shard with more than `hot` fingerprints is cut by a second choice of blocks among its other bits: two of its fingerprints
+within the radius agree in one of radius + 1 of them. What is still larger is dealt into parts with a tree each. While all these trees have
+at most `TREE_BYTES`, counted, they are broadcast and searched by the shard's fingerprints where they lie; beyond it each pair of
+parts is a task of its own, with the tree of the one and the queries of the other. A task gives the classes it found as stars, never all pairs.
 
 Defined cases: a text without words (null and empty ones too) has fingerprint zero and links like any other; fewer words
 than a shingle make one shingle; equal texts share a fingerprint and are never expanded into pairs; rows with a null
@@ -20,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import id_and_text, materialize, whole_groups
+from pixelloom.llm.base import id_and_text, materialize, trimmed, whole_groups
 from pixelloom.llm.components import components, merge_labels
 
 SEED = 42
@@ -39,6 +42,8 @@ BITS = 64
 BROADCAST_IDS = 1_000_000
 #: (query, node) steps that are held at once in a search.
 STEPS = 2_000_000
+#: Bytes of the trees of very large shards that may be broadcast, and of one fingerprint in a tree.
+TREE_BYTES, NODE_BYTES = 32 << 20, 64
 
 
 def shingle_hashes(text: str, width: int = 4) -> np.ndarray:
@@ -75,7 +80,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     d = id_and_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def blocks_for(n: int, radius: int, shard: int = 256) -> int:
@@ -92,6 +97,13 @@ def shard_masks(m: int, radius: int) -> list[int]:
     return [sum(block[i] for i in c) for c in combinations(range(m), m - radius)]
 
 
+def sub_masks(mask: int, radius: int) -> list[int]:
+    """The bits outside a mask in radius + 1 runs of about equal size."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    cut = [round(len(rest) * i / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in rest[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+
+
 class Forest:
     """BK-trees over all groups at once; the first item of each group is its root. Items of a group differ."""
 
@@ -166,13 +178,67 @@ def links(distinct: DataFrame, radius: int = 4, hot: int = 4096) -> DataFrame:
     masks = shard_masks(blocks_for(distinct.count(), radius), radius)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keyed = distinct.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(signed(m)).cast("long").alias("mask")) for i, m in enumerate(masks)])).alias("s"))
-    keyed = keyed.select("fp", "node", F.xxhash64("s.i", F.col("fp").bitwiseAND(F.col("s.mask"))).alias("shard"))
+    keyed = keyed.select("fp", "node", F.col("s.i").alias("i"), F.xxhash64("s.i", F.col("fp").bitwiseAND(F.col("s.mask"))).alias("shard"))
+    crowded = materialize(keyed.groupBy("shard").count().where(F.col("count") > hot).select("shard"), "crowded")
+    if not crowded.isEmpty():
+        cuts = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in sub_masks(m, radius)]) for m in masks])
+        again = F.transform(F.element_at(cuts, F.col("i") + 1), lambda x, j: F.xxhash64("shard", j, F.col("fp").bitwiseAND(x)))
+        keyed = keyed.join(crowded.withColumn("crowded", F.lit(True)), "shard", "left").select("fp", "node", F.explode(F.when(F.col("crowded"), again).otherwise(F.array("shard"))).alias("shard"))
     large = keyed.groupBy("shard").count().where(F.col("count") > hot).select("shard", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    if not crowded.isEmpty():
+        large = materialize(keyed.groupBy("shard").count().where(F.col("count") > hot).select("shard", F.ceil(F.col("count") / hot).cast("int").alias("parts"), "count"), "large")
+        size = large.agg(F.sum("count")).first()[0] or 0
+        large = large.drop("count")
+        if 0 < size * NODE_BYTES <= TREE_BYTES:
+            few = F.broadcast(large)  # fewer rows than the trees have fingerprints
+            return _links(keyed.join(few.select("shard"), "shard", "left_anti").select("fp", "node", F.col("shard").alias("cell"), F.lit(0).cast("byte").alias("side")), radius).union(_tree_links(keyed.join(few, "shard").withColumn("part", F.pmod(F.xxhash64("node", "fp"), F.col("parts"))), radius))
     dealt = keyed.join(large, "shard", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "fp"), F.col("parts"))))
     pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.col("shard").alias("cell"), F.lit(0).cast("byte").alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda o: F.struct(F.xxhash64("shard", F.least("part", o), F.greatest("part", o)).alias("cell"), (F.col("part") > o).cast("byte").alias("side")))
     )
-    cells = dealt.select("fp", "node", F.explode(pairs).alias("p")).select("p.cell", "p.side", "fp", "node")
+    return _links(dealt.select("fp", "node", F.explode(pairs).alias("p")).select("p.cell", "p.side", "fp", "node"), radius)
+
+
+def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links within large shards: rows (shard, part, fp, node) against the broadcast trees of all parts of their shard."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "tree"):
+            tree, fp, node, shard = (t.column(c).to_numpy() for c in ("tree", "fp", "node", "shard"))
+            cut = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1], True]).tolist()
+            blobs = [pickle.dumps((Forest(fp[a:b].astype(np.int64).view(np.uint64), tree[a:b]), node[a:b])) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(blobs, pa.binary())], ["shard", "tree"])
+
+    named = rows.withColumn("tree", F.xxhash64("shard", "part")).select("tree", "fp", "node", "shard")
+    trees = named.repartition(n, "tree").sortWithinPartitions("tree", "fp").mapInArrow(trimmed(grow), "shard long, tree binary")
+    of: dict[int, list] = {}
+    for r in trees.toLocalIterator():  # counted: at most TREE_BYTES
+        of.setdefault(r["shard"], []).append(bytes(r["tree"]))
+    sent = spark.sparkContext.broadcast(of)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, fp, node = (b.column(c).to_numpy() for c in ("shard", "fp", "node"))
+            for s in np.unique(shard).tolist():
+                mine = shard == s
+                query, asks = fp[mine].astype(np.int64).view(np.uint64), node[mine]
+                for blob in sent.value[s]:
+                    forest, names = pickle.loads(blob)
+                    ids = np.unique(np.concatenate([asks, names]))
+                    label, q, x = np.arange(len(ids)), np.searchsorted(ids, asks), np.searchsorted(ids, names)
+                    for at, item in forest.search(query, np.zeros(len(query), np.int64), radius):
+                        merge_labels(label, q[at], x[item])
+                    up = label != np.arange(len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[up]), pa.array(ids[label[up]])], ["a", "b"])
+
+    return rows.select("shard", "fp", "node").mapInArrow(trimmed(ask), "a long, b long")
+
+
+def _links(cells: DataFrame, radius: int) -> DataFrame:
+    """Links within cells (cell, side, fp, node)."""
+    spark = cells.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "cell"):
@@ -180,7 +246,7 @@ def links(distinct: DataFrame, radius: int = 4, hot: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
