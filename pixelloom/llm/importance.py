@@ -1,20 +1,19 @@
 """Quality classification by importance resampling.
 
 Two hashed n-gram generative models are fitted: one on target text (labelled as good), one on the raw corpus. A document's
-log weight is the sum over its n-grams of log p_target - log p_raw - cut. The cut makes up for what the two samples differ in
-besides quality (shares of languages, a few very long texts): it is the mean log ratio that best parts labelled good from
-labelled bad documents while keeping nearly all good ones, 0 without both. Documents are drawn without replacement in proportion to their weights by Gumbel
-top-k: each log weight gets a Gumbel noise that depends on the doc_id alone, and the k largest stay. Unless k is given it is
-the number of documents with a log weight of 0 or more.
-
-The raw model counts all documents. The target model and the cut use at most `TARGET_DOCS` labelled documents of either label,
-those with the smallest hash of their id; their ids are broadcast (9 bytes each) and their mean log ratios come to the driver.
-Models are 65,536 counts. The k-th largest key is found exactly by histograms of the keys (rounds of at most 4,096 counts), not
+log weight is the mean over its n-grams of log p_target - log p_raw, times `STRENGTH`: the weight of a stretch of that many n-grams like
+the document, so that long and short documents are sampled alike. Documents are drawn without replacement in proportion to their weights by
+Gumbel top-k: each log weight gets a Gumbel noise that depends on the doc_id alone, and the k largest stay. k is given, or follows from
+the share of documents to keep; unless that is given too, it is the share of good documents among the labelled ones.
+
+The raw model counts all documents. The target model uses at most `TARGET_DOCS` documents labelled as good,
+those with the smallest hash of their id; their ids are broadcast (8 bytes each).
+Models are 65,538 counts. The k-th largest key is found exactly by histograms of the keys (rounds of at most 4,096 counts), not
 by a global sort.
 
 Defined cases: a null or empty text has log weight 0; documents whose key equals the k-th all stay; repeated rows with one
-doc_id and text get one key; a document labelled both good and bad counts as bad; without target documents every weight is 0 and
-all documents stay; an empty table gives an empty result; extra columns are ignored by the scores and kept by the filter.
+doc_id and text get one key; a document labelled both good and bad counts as bad; without target documents every weight is 0, and without
+labels all documents stay; doc_ids are whole numbers; an empty table gives an empty result; extra columns are ignored by the scores and kept by the filter.
 """
 
 from __future__ import annotations
@@ -29,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import materialize
+from pixelloom.llm.base import materialize, trimmed
 from pixelloom.llm.ngrams import BUCKETS as GRAMS
 from pixelloom.llm.ngrams import grams
 
 TARGET_DOCS = 20_000
 SMOOTHING = 1.0
-#: Share of labelled good documents that the cut must keep.
-KEEP_GOOD = 0.995
-
+#: N-grams that a log weight stands for.
+STRENGTH = 64.0
 
 #: Buckets: those of byte n-grams, then word pairs that repeat a word, then other word pairs.
 BUCKETS = GRAMS + 2
@@ -53,52 +51,18 @@ def features(text: str) -> np.ndarray:
 @dataclass
 class Model:
     log_ratio: np.ndarray  # buckets
-    cut: float = 0.0
+    share: float = 1.0  # of documents that are like the target
 
     def weight(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        g = features(text)
-        return float(self.log_ratio[g].sum()) - self.cut * len(g)
-
-
-def best_cut(means: np.ndarray, good: np.ndarray) -> float:
-    """The value that parts good (above) from bad means with the largest share of either right, the middle of the
-    gap there; lower if a share of over 1 - KEEP_GOOD of the good would fall below."""
-    if good.all() or not good.any():
-        return 0.0
-    order = np.argsort(means, kind="stable")
-    m, g = means[order], good[order]
-    right = np.cumsum(~g)[:-1] / (~g).sum() + (g.sum() - np.cumsum(g)[:-1]) / g.sum()
-    right[m[:-1] == m[1:]] = -1.0
-    at = int(np.argmax(right))
-    return min(float(m[at] + m[at + 1]) / 2, float(np.quantile(means[good], 1 - KEEP_GOOD)))
-
-
-def labelled(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
-    """(doc_id, good) of at most `most` documents of either label, by the hash of their id."""
-    quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    of = lambda kind: quality.where("q = 1" if kind else "q <> 1").select("doc_id", F.lit(kind).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return of(True).union(of(False))
+        return STRENGTH * float(self.log_ratio[features(text)].mean()) if text else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> Model:
     """docs: doc_id, text. labels: doc_id, quality (1: good)."""
-    marked = labelled(labels, most).collect()  # bounded by 2 x most
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"]) for r in marked], "doc_id long, good boolean")
-    model = Model(fit_ratio(docs, ids.where("good").select("doc_id")))
-    if model.log_ratio.any():
-        some = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids), "doc_id")
-        sent = docs.sparkSession.sparkContext.broadcast(model)
-
-        @F.pandas_udf("double")
-        def mean(texts: pd.Series) -> pd.Series:
-            ratio = sent.value.log_ratio
-            return pd.Series([float(ratio[features(t)].mean()) for t in texts], dtype="float64")
-
-        got = some.select(mean("text").alias("m"), "good").toPandas()  # bounded by 2 x most
-        model.cut = best_cut(got["m"].to_numpy(float), got["good"].to_numpy(bool))
-    return model
+    quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    good, known = quality.agg(F.sum((F.col("q") == 1).cast("long")), F.count("*")).first()
+    target = quality.where("q = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return Model(fit_ratio(docs, target), good / known if good else 1.0)
 
 
 def fit_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
@@ -128,7 +92,7 @@ def fit_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
 
     ids = good.withColumn("target", F.lit(True))
     d = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    got = d.mapInArrow(count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = d.mapInArrow(trimmed(count), "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
     h = np.full((2, BUCKETS), SMOOTHING)
     h[got["model"], got["bucket"]] += got["n"]
     if not (got["model"] == 1).any():
@@ -177,29 +141,26 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def threshold(scored: DataFrame, k: int | None = None) -> float | None:
-    """The key of the last document that stays. scored: log_weight, key."""
-    if k is None:
-        k = scored.where("log_weight >= 0").count()
-    return kth_largest(scored, "key", k)
+def threshold(scored: DataFrame, k: int | None, share: float) -> float | None:
+    """The key of the last document that stays. scored: key."""
+    return kth_largest(scored, "key", round(share * scored.count()) if k is None else k)
 
 
-def scores(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None) -> DataFrame:
     """doc_id, log_weight, key, keep of every document."""
     d = docs.select("doc_id", "text")
     model = fit(d, labels)
     scored = d.select("doc_id", log_weight(model, F.col("text"), d.sparkSession).alias("log_weight")).withColumn("key", F.col("log_weight") + F.coalesce(gumbel(F.col("doc_id")), F.lit(0.0)))
     scored = materialize(scored, "weights")
-    last = threshold(scored, k)
+    last = threshold(scored, k, model.share if share is None else share)
     return scored.withColumn("keep", F.col("key") >= last if last is not None else F.lit(False))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The documents that stay, with all columns. Only (doc_id, key) is stored; the filter weighs the texts where they lie."""
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | None = None, share: float | None = None) -> DataFrame:
+    """The documents that stay, with all columns. Only the keys are stored; the filter weighs the texts where they lie."""
     d = docs.select("doc_id", "text")
     model = fit(d, labels)
-    key = log_weight(model, F.col("text"), d.sparkSession)
-    noise = F.coalesce(gumbel(F.col("doc_id")), F.lit(0.0))
-    scored = materialize(d.select(key.alias("log_weight"), noise.alias("noise")).select("log_weight", (F.col("log_weight") + F.col("noise")).alias("key")), "weights")
-    last = threshold(scored, k)
-    return docs.where(key + noise >= last) if last is not None else docs.where(F.lit(False))
+    key = log_weight(model, F.col("text"), d.sparkSession) + F.coalesce(gumbel(F.col("doc_id")), F.lit(0.0))
+    scored = materialize(d.select(key.alias("key")), "weights")
+    last = threshold(scored, k, model.share if share is None else share)
+    return docs.where(key >= last) if last is not None else docs.where(F.lit(False))
