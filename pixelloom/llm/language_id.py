@@ -5,8 +5,9 @@ others by the mean log ratio of their byte 3-gram models. Decoding is loss-weigh
 logistic losses wins, each bit weighted by how well it is learned for that language. Two codewords at nearly the same loss
 flag the document as ambiguous.
 
-Training counts n-grams over all training rows where they lie and brings one histogram a language to the driver
-(languages x 65,536 counts; more than `MOST_LANGUAGES` languages are refused). Models are broadcast: 65,536 x bits floats.
+Training counts n-grams over all training rows where they lie. A bucket's weights are worked out where its counts meet, so
+the driver gets 65,536 x bits weights, languages x bits shares and one row a language, however many rows or counts there are; bits are
+at most 15 or 10 x log2 of the number of languages. The model is broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and not ambiguous; without any training
 row every text is `und`; with one language every text with letters gets it; equal texts get equal predictions; of
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.base import materialize, trimmed, whole_groups
 from pixelloom.llm.ngrams import BUCKETS, grams
 
 UNKNOWN = "und"
-MOST_LANGUAGES = 500
 SMOOTHING = 0.5
 SHARPNESS = 8.0
 AMBIGUOUS_BELOW = 0.05
@@ -93,21 +94,48 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(h[at], pa.int64())], ["lang", "bucket", "n"])
 
     d = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counted = d.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    per_language = counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
-    got = per_language.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(got) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = [r["lang"] for r in got]
-    p = np.full((len(got), BUCKETS), SMOOTHING)
-    for row, r in zip(p, got):
-        row[r["at"]] += r["n"]
-    p /= p.sum(axis=1, keepdims=True)
-    code = codewords(len(got))
-    if len(got) < 2:
+    counted = d.mapInArrow(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "gram-counts")
+    totals = sorted((r["lang"], r["n"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect())  # one row a language
+    languages = [x for x, _ in totals]
+    code = codewords(len(languages))
+    if len(languages) < 2:
         return Model(languages, code, np.zeros((BUCKETS, 1), np.float32), np.ones(code.shape))
-    w = np.stack([np.log(p[c > 0].mean(axis=0)) - np.log(p[c < 0].mean(axis=0)) for c in code.T], axis=1)
-    trust = np.maximum(code * (p @ w), 1e-3)
+    all_grams = np.array([n + SMOOTHING * BUCKETS for _, n in totals])
+    place = {x: i for i, x in enumerate(languages)}
+    plus, minus = (code > 0) / (code > 0).sum(axis=0), (code < 0) / (code < 0).sum(axis=0)
+    sent = rows.sparkSession.sparkContext.broadcast((place, all_grams, plus, minus))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, all_grams, plus, minus = sent.value
+        shares = np.zeros(plus.shape)
+        for t in whole_groups(batches, "bucket"):
+            lang = np.array([place[x] for x in t.column("lang").to_pylist()])
+            bucket, at = np.unique(t.column("bucket").to_numpy(), return_inverse=True)
+            n, step = t.column("n").to_numpy(), max(1, 4_000_000 // len(all_grams))
+            for a in range(0, len(bucket), step):
+                here = (at >= a) & (at < a + step)
+                p = np.full((min(step, len(bucket) - a), len(all_grams)), SMOOTHING)
+                p[at[here] - a, lang[here]] += n[here]
+                p /= all_grams
+                w = np.log(p @ plus) - np.log(p @ minus)
+                shares += p.T @ w
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + step], pa.int32()), pa.array(list(w), pa.list_(pa.float64()))], ["key", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(all_grams)), pa.int32()), pa.array(list(shares), pa.list_(pa.float64()))], ["key", "w"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighed = materialize(counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(weigh, "key int, w array<double>"), "gram-weights")
+    absent = SMOOTHING / all_grams
+    w = np.tile(np.log(absent @ plus) - np.log(absent @ minus), (BUCKETS, 1))
+    found = np.zeros(BUCKETS, bool)
+    got = weighed.where("key >= 0").toArrow()  # at most 65,536 rows
+    if got.num_rows:
+        at = got.column("key").to_numpy()
+        w[at], found[at] = got.column("w").combine_chunks().flatten().to_numpy().reshape(len(at), -1), True
+    shares = np.outer(absent, w[np.flatnonzero(~found)].sum(axis=0))
+    for r in weighed.where("key < 0").select("key", F.posexplode("w")).groupBy("key", "pos").agg(F.sum("col").alias("s")).toLocalIterator():  # languages x bits
+        shares[-1 - r["key"], r["pos"]] += r["s"]
+    trust = np.maximum(code * shares, 1e-3)
     return Model(languages, code, w.astype(np.float32), trust / trust.sum(axis=1, keepdims=True))
 
 
@@ -123,7 +151,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(open_, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    return d.mapInArrow(trimmed(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def cross_checked(docs: DataFrame) -> DataFrame:
