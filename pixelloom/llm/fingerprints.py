@@ -9,7 +9,7 @@ range is sorted in its own partition, and the first document of a range is also
 
 Defined cases: a null or empty text has the empty fingerprint, and two empty fingerprints have likeness 1; equal texts have
 equal fingerprints; rows with equal doc_id follow in the order of their texts; a null doc_id sorts first, and the last
-document is followed by the one with the smallest id that is not null; a single document is followed by itself; an empty
+document is followed by the one with the smallest id that is not null; ids are whole numbers; a single document is followed by itself; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -20,11 +20,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.base import id_and_text
+from pixelloom.llm.base import id_and_text, trimmed
 
 GRAM, WINDOW = 9, 16
 #: Fixed odd multipliers of the hash.
@@ -114,13 +115,13 @@ def in_ranges(d: DataFrame) -> DataFrame:
     parts = 4 * n
     cuts = d.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("c")).first()["c"]
     cuts = sorted({int(c) for c in cuts or []})
-    if cuts:
-        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(bounds, at + step) <= F.col("doc_id")), at + step).otherwise(at))
-    else:
-        bucket = F.lit(0)
-    d = d.withColumn("bucket", bucket)
+    sent = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, ids.to_numpy(), side="right").astype(np.int32))
+
+    d = d.withColumn("bucket", bucket(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))))
     # the first id of each range: as many rows as there are ranges
     heads = [(r["bucket"], r["head"]) for r in d.where("doc_id is not null").groupBy("bucket").agg(F.min("doc_id").alias("head")).orderBy("bucket").collect()]
     before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]  # the first head follows the last range
@@ -173,4 +174,4 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row(waiting[1], nothing), kinds)], names)
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return in_ranges(d).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_ranges(d).mapInArrow(trimmed(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
