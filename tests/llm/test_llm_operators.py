@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables with awkward rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -176,6 +177,23 @@ def test_winnowing_picks_the_rightmost(text):
     assert at.tolist() == want
 
 
+def brute_winnow(t):
+    """The smallest hash of every window, by plain integers; equal hashes need no place here."""
+    k = min(fingerprints.GRAM, len(t))
+    hashes = []
+    for a in range(len(t) - k + 1) if t else []:
+        h = 0
+        for c in t[a : a + k]:
+            h = (h * int(fingerprints.BASE) + ord(c) + 1) % (1 << 64)
+        hashes.append(((h ^ h >> 32) * int(fingerprints.MIX) % (1 << 64)) >> 32)
+    w = min(fingerprints.WINDOW, len(hashes))
+    return {min(hashes[a : a + w]) for a in range(len(hashes) - w + 1)} if hashes else set()
+
+
+def text_of(hashes):
+    return base64.b64encode(b"".join(h.to_bytes(4, "little") for h in sorted(hashes))).decode()
+
+
 def test_edited_likeness(docs, texts, empty):
     got = by_id(fingerprints.edited_likeness(docs))
     assert len(got) == len(texts)
@@ -184,7 +202,10 @@ def test_edited_likeness(docs, texts, empty):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + then[:cut]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        own, other, mixed = brute_winnow(t), brute_winnow(then), brute_winnow(edited)
+        like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+        assert got[i].fingerprint == text_of(own) and got[i].edited_fingerprint == text_of(mixed)
+        assert got[i].near_edited == like(own, mixed) and got[i].near_next == like(own, other)
         if t == then:
             assert got[i].near_next == 1
     assert got[0].fingerprint == got[24].fingerprint
@@ -229,8 +250,9 @@ def test_simhash(docs, texts, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(r.component_id for r in got.values()))
 
 
-@pytest.mark.parametrize("hot", [8, 4096])
-def test_bk_links_join_the_right_classes(spark, hot):
+@pytest.mark.parametrize(("hot", "trees"), [(8, 0), (8, 1 << 20), (2, 1 << 20), (4096, 0)])
+def test_bk_links_join_the_right_classes(spark, hot, trees, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "TREE_BYTES", trees)
     rng = random.Random(11)
     fps = {rng.getrandbits(64) for _ in range(60)}
     for f in list(fps)[:20]:
@@ -303,6 +325,38 @@ def test_line_dedup_in_a_hot_group(spark):
     assert {i for i, r in got.items() if r.n_removed} == near and want is None
 
 
+def test_hot_keys_are_split_without_loss():
+    """Lines within the edits still share a key when every key is hot."""
+    rng = random.Random(17)
+    for _ in range(400):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(9, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [rng.choice("abcd")], [b[at], rng.choice("abcd")]])
+        b = "".join(b)
+        plain = [line_dedup.signatures(x, 2) for x in (a, b)]
+        hot = frozenset(k & ~1 for x in plain for k in x)
+        a, b = (line_dedup.signatures(x, 2, hot) for x in (a, b))
+        sides = [{k & ~1 for k in x if k & 1 == side} for x in (a, b) for side in (0, 1)]
+        assert sides[0] & sides[3] or sides[2] & sides[1]
+
+
+def test_line_dedup_with_hot_keys(docs, texts, monkeypatch):
+    want = by_id(line_dedup.line_digests(docs))
+    monkeypatch.setattr(line_dedup, "ONE_IN", 1)
+    monkeypatch.setattr(line_dedup, "CELL", 0)
+    assert line_dedup.hot_keys(base.id_and_text(docs), 2)
+    monkeypatch.setattr(line_dedup, "hot_keys", lambda d, tau, found=line_dedup.hot_keys(base.id_and_text(docs), 2): found)
+    monkeypatch.setattr(line_dedup, "CELL", 256)
+    assert by_id(line_dedup.line_digests(docs)) == want
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a line that is here twice", 5, "x", 1.0), (2, "a line that is here twice\nother", 6, "y", 2.0)], "doc_id long, text string, stay int, of string, _stay double")
+    assert [(r.doc_id, r.text, r.stay, r.of, r._stay) for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [(1, "a line that is here twice", 5, "x", 1.0), (2, "other", 6, "y", 2.0)]
+
+
 @pytest.mark.parametrize("most", [0, 1, 2, 3])
 def test_banded_edits(most):
     rng = random.Random(most)
@@ -349,24 +403,68 @@ def test_suffix_dedup_of_equal_and_null_ids(spark):
     assert all(r.n_removed == 0 for r in suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
-@pytest.mark.parametrize("share", [0.5, 256])
-@pytest.mark.parametrize("budget", [64, 1 << 26])
-def test_induced_sort(share, budget, monkeypatch):
-    monkeypatch.setattr(induced_sort, "RECURSE_SHARE", share)
-    monkeypatch.setattr(induced_sort.RunQueue.__init__, "__defaults__", (budget,))
+@pytest.mark.parametrize("symbols", [1, 5, 1024])
+@pytest.mark.parametrize(("budget", "chunk"), [(64, 3), (3000, 17), (1 << 26, 1 << 20)])
+def test_induced_sort(symbols, budget, chunk, monkeypatch):
+    monkeypatch.setattr(induced_sort, "SYMBOLS", symbols)
+    monkeypatch.setattr(induced_sort, "CHUNK", chunk)
+    monkeypatch.setattr(induced_sort, "WINDOW", chunk)
     rng = random.Random(8)
     for _ in range(60):
         t = [rng.randint(1, rng.choice([1, 2, 4, 30])) for _ in range(rng.randint(0, 120))]
         t = t + t[: len(t) // 2] + t + [0]
-        depth = rng.choice([3, 7, 50])
-        order, prefix = induced_sort.suffix_order(np.array(t), depth)
-        assert sorted(order.tolist()) == list(range(len(t)))
+        depth, space = rng.choice([3, 7, 50]), induced_sort.Space(budget)
+        order, prefix = induced_sort.suffix_order(np.array(t), depth, space)
+        assert sorted(order.tolist()) == list(range(len(t))) and (space.on_disk > 0 or budget > 64 or len(t) < 10)
         for a, b, n in zip(order[:-1], order[1:], prefix[1:]):
             x, y = t[a:], t[b:]
             common = next((k for k in range(min(len(x), len(y), depth)) if x[k] != y[k]), min(len(x), len(y), depth))
             assert x[:depth] <= y[:depth] and n == common
 
 
+def test_induced_sort_beyond_memory(monkeypatch):
+    """A sequence whose arrays are far larger than the budget goes to disk, through recursion, and comes out the same."""
+    rng = random.Random(14)
+    raw = " ".join(rng.choice(["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]) for _ in range(45_000)).encode()
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 2, 0).astype(np.int16)
+    order, prefix = induced_sort.suffix_order(text, 50)
+    levels, inner, peaks = [], induced_sort.suffix_order, []
+
+    def counted(t, depth, space=None):
+        levels.append(len(t))
+        peaks.append(space.budget // 2 - space.left)
+        return inner(t, depth, space)
+
+    monkeypatch.setattr(induced_sort, "suffix_order", counted)
+    monkeypatch.setattr(induced_sort, "CHUNK", 1 << 13)
+    monkeypatch.setattr(induced_sort, "WINDOW", 1 << 13)
+    space = induced_sort.Space(400_000)
+    far, far_prefix = induced_sort.suffix_order(text, 50, space)
+    assert len(levels) > 2 and space.on_disk > 10 * space.budget and max(peaks) <= space.budget // 2
+    assert isinstance(far, np.memmap) and (far_prefix == prefix).all()
+    cut = np.flatnonzero(prefix < 50)
+    assert all(set(a) == set(b) for a, b in zip(np.split(far, cut), np.split(order, cut)))
+
+
+def test_runs_of_a_shard_beyond_memory(monkeypatch):
+    rng = random.Random(15)
+    pieces = [words(rng, 40).encode() for _ in range(30)]
+    stretches = [b" ".join(rng.choice(pieces) for _ in range(3)) for _ in range(200)]
+    docs = np.array([rng.randint(0, 50) for _ in stretches])
+    want = {}
+    for s, d in zip(stretches, docs.tolist()):
+        for k in range(len(s) - 49):
+            want[s[k : k + 50]] = min(want.get(s[k : k + 50], d), d)
+    for budget, chunk in ((5000, 100), (1 << 26, 1 << 20)):
+        monkeypatch.setattr(induced_sort, "CHUNK", chunk)
+        space = induced_sort.Space(budget)
+        got = {}
+        for i, a, b, d in zip(*(x.tolist() for x in suffix_dedup.first_runs(stretches, docs, 50, space))):
+            got |= {(i, k): d for k in range(a, b + 1)}
+        assert got == {(i, k): want[s[k : k + 50]] for i, s in enumerate(stretches) for k in range(len(s) - 49)}
+        assert (space.on_disk > 20 * budget) == (budget == 5000)
+
+
 def brute_hits(texts, items, width=8):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = {}
@@ -396,12 +494,32 @@ def test_decontamination(spark, docs, texts, empty):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, w in want.items() if not w[2]}
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "gamma beta alpha"), (3, "alpha z z z z z beta gamma")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
-    index, anchors, n = decontamination.build(docs, items, width=8, slop=2)
-    assert {r.doc_id for r in decontamination.proximity_matches(index, anchors, n, slop=2).collect()} == {1, 2}
-    assert decontamination.phrase_matches(index, anchors, n).count() == 0
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_decontamination_without_broadcast(spark, docs, texts, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    t = dict(texts)
+    items = [(1, " ".join(t[0].split()[5:30])), (2, "nothing of this"), (3, " ".join(t[4].split()[3:9])), (4, t[34][:500])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got, want = by_id(decontamination.contamination(docs, bench)), brute_hits(texts, items)
+    assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == want
+
+
+def test_texts_with_one_id_are_matched_apart(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (1, "x x x x five six seven eight"), (2, "one two three four five six seven eight")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "one two three four five six seven eight")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r.n_hit for r in decontamination.contamination(docs, items).collect()}
+    assert got == {(1, 4): 0, (1, 8): 0, (2, 8): 8}
+
+
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_proximity(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "gamma beta alpha"), (3, "alpha z z z z z beta gamma"), (None, "Beta y gamma q alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "alpha beta gamma"), (10, "gamma"), (11, "nowhere gamma")], "item_id long, text string")
+    index = decontamination.build_index(docs)
+    near = decontamination.proximity_matches(index, items, slop=2).collect()
+    assert {r.doc_id for r in near if 9 in r["items"]} == {1, 2, None} and {r.doc_id for r in near if 10 in r["items"]} == {1, 2, 3, None}
+    assert {r.doc_id for r in decontamination.matches(index, decontamination.test_phrases(index, items)[1]).collect()} == {1, 2, 3, None}
 
 
 def test_language_id(spark, docs, empty):
@@ -420,22 +538,79 @@ def test_language_id(spark, docs, empty):
     assert min((c[i] != c[j]).sum() for i in range(9) for j in range(i)) >= 5
 
 
+def test_language_id_of_held_out_rows(spark):
+    """Accuracy on rows that nothing was learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got, lang = by_id(language_id.cross_checked(docs)), {r.doc_id: (r.lang, r.text) for r in docs.collect()}
+    asked = [i for i, r in got.items() if r.held_out and lang[i][0] and lang[i][1] and any(map(str.isalpha, lang[i][1]))]
+    assert len(asked) > 150 and sum(got[i].lang_pred == lang[i][0] for i in asked) >= 0.99 * len(asked)
+
+
+def test_language_weights_by_brute_force(spark):
+    rows = [(i, x, lang) for i, (x, lang) in enumerate([("abc abd", "a"), ("xyz xyz zzz", "b"), ("abx aby", "c"), ("qq", "b")])]
+    m = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    p = np.full((3, language_id.BUCKETS), language_id.SMOOTHING)
+    for _, x, lang in rows:
+        np.add.at(p["abc".index(lang)], language_id.grams(x, lower=True), 1)
+    p /= p.sum(axis=1, keepdims=True)
+    code = language_id.codewords(3)
+    w = np.stack([np.log(p[c > 0].mean(axis=0)) - np.log(p[c < 0].mean(axis=0)) for c in code.T], axis=1)
+    trust = np.maximum(code * (p @ w), 1e-3)
+    assert m.languages == ["a", "b", "c"] and np.allclose(m.weights, w, atol=1e-5) and np.allclose(m.trust, trust / trust.sum(axis=1, keepdims=True), rtol=1e-6)
+
+
 def test_importance(spark, docs, empty):
     rng = random.Random(3)
     good = [(i, words(rng, 60)) for i in range(80)]
     bad = [(100 + i, " ".join(w + "%%#" for w in words(rng, 40).split())) for i in range(20)]
-    rep = [(200 + i, "same " * 60) for i in range(12)]
+    rep = [(200 + i, "same " * 60) for i in range(10)]
     df = spark.createDataFrame(good + bad + rep, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i, _ in good[::2] + bad[::2] + rep[::2]], "doc_id long, quality int")
     got = by_id(importance.scores(df, labels))
     assert {i for i, r in got.items() if r.keep} == {i for i, _ in good}
     kept = importance.keep_good(df.withColumn("key", F.lit(1)), labels)
     assert kept.columns == ["doc_id", "text", "key"] and {r.doc_id for r in kept.collect()} == {i for i, _ in good}
-    assert importance.scores(df, labels, k=10).where("keep").count() == 10
+    assert importance.scores(df, labels, k=10).where("keep").count() == 10 and importance.scores(df, labels, share=0.5).where("keep").count() == 55
     assert all(r.keep for r in importance.scores(docs, labels.limit(0)).collect())
     assert importance.scores(empty, labels).count() == 0
 
 
+def test_importance_by_brute_force(spark, docs, texts):
+    labels = {i: int(i % 3 > 0) for i, t in texts if i % 2}
+    got = by_id(importance.scores(docs, spark.createDataFrame([*labels.items()], "doc_id long, quality int"), share=0.5))
+
+    def grams(t):
+        raw = f" {t} ".encode()
+        byte = [(int.from_bytes(raw[k : k + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for k in range(len(raw) - 2)]
+        w = t.split()
+        return byte + [65536 + (a != b) for a, b in zip(w, w[1:])]
+
+    counts = [[1.0] * 65538 for _ in range(2)]
+    for i, t in texts:
+        for g in grams(t) if t else []:
+            counts[0][g] += 1
+            counts[1][g] += labels.get(i) == 1
+    total = [sum(c) for c in counts]
+    keys = {}
+    for i, t in texts:
+        ratio = [np.log(counts[1][g] / total[1]) - np.log(counts[0][g] / total[0]) for g in grams(t)] if t else [0.0]
+        assert abs(got[i].log_weight - 64 * sum(ratio) / len(ratio)) < 1e-6
+        keys[i] = got[i].key
+    noise = [got[i].key - got[i].log_weight for i, _ in texts]
+    assert -3 < min(noise) < 0 < max(noise) < 12 and len(set(noise)) == len(noise)
+    last = sorted(keys.values())[-round(0.5 * len(keys))]
+    assert all(got[i].keep == (keys[i] >= last) for i in keys)
+
+
+def test_gumbel_sampling_follows_the_weights(spark):
+    """Of documents with two weights, one by one in proportion to exp(weight)."""
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    noise = ids.select((F.col("doc_id") % 2).alias("heavy"), (importance.gumbel(F.col("doc_id")) + F.when(F.col("doc_id") % 2 == 1, 1.0).otherwise(0.0)).alias("key"))
+    top = noise.orderBy(F.desc("key")).limit(2000).groupBy("heavy").count().collect()
+    n = {r.heavy: r["count"] for r in top}
+    assert 0.68 < n[1] / 2000 < 0.78  # e / (1 + e) = 0.73
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     v = [rng.gauss(0, 1e6) for _ in range(500)] + [1.5] * 40
