@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
 from pixelloom.operators import blocks, corpus, distortion, histograms, images, lossy, planning, rate_distortion, stencils
+from pixelloom.plans import coding
 from pixelloom.sources.fixtures import hidden_rgb, image, pixels
 
 SMALL = ["gradient128", "flat128", "alpha128"]
@@ -267,10 +268,10 @@ QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in [*QUERIES, *coding.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
     from pixelloom.plans import oracles
 
-    return oracles.ORACLES | {"match_by_size": _nearest_sql(f"abs(r.bytes - l.bytes), {QD}"), "match_by_quality": _nearest_sql(f"{QD}, r.bytes")} | oracles.on_samples(SAMPLES_SQL)
+    return oracles.ORACLES | {f.__name__: sql for f, sql in coding.QUERIES.items() if sql} | {"match_by_size": _nearest_sql(f"abs(r.bytes - l.bytes), {QD}"), "match_by_quality": _nearest_sql(f"{QD}, r.bytes")} | oracles.on_samples(SAMPLES_SQL)
