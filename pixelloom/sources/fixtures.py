@@ -53,6 +53,38 @@ def hidden_rgb(spark: SparkSession) -> DataFrame:
     return p.select("*", F.expr("CAST((x * 17 + 3) % 256 AS INT) r"), F.expr("CAST((y * 13 + 5) % 256 AS INT) g"), F.expr("CAST((x * y + 7) % 256 AS INT) b"), F.expr("CASE WHEN (x + y) % 3 = 0 THEN 0 ELSE 255 END a"))
 
 
+def with_aliases(spark: SparkSession) -> DataFrame:
+    """The standard images and the one with hidden colour, as an exact comparison wants them."""
+    return pixels(spark).unionByName(hidden_rgb(spark))
+
+
+def verification(spark: SparkSession) -> DataFrame:
+    """What an outside decoder is asked to read back: every image plain, the small ones with each kind of metadata, the translucent one with all.
+
+    (img, variant, icc, exif, xmp): one row a file to make; metadata is null where the variant has none.
+    """
+    blob = {"icc": b"profile", "exif": b"exif data", "xmp": b"<x/>"}
+    pick = lambda *names: tuple(blob[k] if k in names else None for k in blob)
+    rows = [(f[0], "plain", *pick()) for f in STANDARD] + [("hidden16", "plain", *pick())]
+    rows += [("flat128", "+".join(v), *pick(*v)) for v in (("icc",), ("exif",), ("xmp",), ("icc", "exif", "xmp"))]
+    return spark.createDataFrame([*rows, ("alpha128", "icc+exif+xmp", *pick("icc", "exif", "xmp"))], "img string, variant string, icc binary, exif binary, xmp binary")
+
+
+def comparison(spark: SparkSession, corpus_folder: str | None = None, split: str = "holdout", percent: int = 20, hidden: bool = False) -> DataFrame:
+    """Pixels to compare encoders on: the standard images, or those of a split of a folder. hidden: with the one of hidden colour.
+
+    'development' and 'validation' are other names of 'train' and 'holdout'.
+    """
+    if corpus_folder is None:
+        return with_aliases(spark) if hidden else pixels(spark)
+    from pixelloom.sources import images
+
+    split = {"development": "train", "validation": "holdout"}.get(split, split)
+    mine = images.kept(images.index(spark, corpus_folder, percent), split).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    px = images.pixels(spark, corpus_folder)
+    return px.join(mine.distinct(), F.regexp_replace(px["img"], "^file:/+", "/") == mine["path"], "left_semi")
+
+
 def pixels_sql(names: list[str] | None = None) -> str:
     """The same table as a DuckDB subquery."""
     parts = []
