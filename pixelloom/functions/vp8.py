@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from pixelloom.functions import transforms
+
 DC, TRUE_MOTION, VERTICAL, HORIZONTAL = range(4)
 #: What stands above the first row and left of the first column.
 ABOVE, LEFT = 127, 129
@@ -89,22 +91,20 @@ class BoolReader:
 
 def forward_dct(r: np.ndarray) -> np.ndarray:
     """4 x 4 residuals (..., 4, 4) to coefficients."""
-    a0, a1, a2, a3 = r[..., 0] + r[..., 3], r[..., 1] + r[..., 2], r[..., 1] - r[..., 2], r[..., 0] - r[..., 3]
-    t = np.stack([(a0 + a1) * 8, (a2 * 2217 + a3 * 5352 + 1812) >> 9, (a0 - a1) * 8, (a3 * 2217 - a2 * 5352 + 937) >> 9], -1)
-    a0, a1, a2, a3 = t[..., 0, :] + t[..., 3, :], t[..., 1, :] + t[..., 2, :], t[..., 1, :] - t[..., 2, :], t[..., 0, :] - t[..., 3, :]
-    return np.stack([(a0 + a1 + 7) >> 4, ((a2 * 2217 + a3 * 5352 + 12000) >> 16) + (a3 != 0), (a0 - a1 + 7) >> 4, (a3 * 2217 - a2 * 5352 + 51000) >> 16], -2)
+    return _stacked(transforms.forward_dct(_listed(r.astype(float)), np.floor), r).astype(np.int64)
 
 
 def inverse_dct(c: np.ndarray) -> np.ndarray:
     """Coefficients to residuals."""
-    big, small = lambda v: v * 85627 >> 16, lambda v: v * 35468 >> 16
-    a, b = c[..., 0, :] + c[..., 2, :], c[..., 0, :] - c[..., 2, :]
-    e, d = small(c[..., 1, :]) - big(c[..., 3, :]), big(c[..., 1, :]) + small(c[..., 3, :])
-    m = np.stack([a + d, b + e, b - e, a - d], -2)
-    m0 = m[..., 0] + 4
-    a, b = m0 + m[..., 2], m0 - m[..., 2]
-    e, d = small(m[..., 1]) - big(m[..., 3]), big(m[..., 1]) + small(m[..., 3])
-    return np.stack([a + d, b + e, b - e, a - d], -1) >> 3
+    return _stacked(transforms.inverse_dct(_listed(c), np.right_shift), c)
+
+
+def _listed(b: np.ndarray) -> list[np.ndarray]:
+    return [b[..., i // 4, i % 4] for i in range(16)]
+
+
+def _stacked(v: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    return np.stack(v, -1).reshape(like.shape)
 
 
 def quantized(c: np.ndarray, dc: int, ac: int, bias: int = 128) -> np.ndarray:

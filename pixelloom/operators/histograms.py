@@ -109,7 +109,7 @@ def palette(px: DataFrame, most: int = 256) -> DataFrame:
 def packed_indexes(px: DataFrame, most: int = 256) -> DataFrame:
     """(img, y, px, packed): palette indexes, 1 to 8 to a byte."""
     t = palette(px, most)
-    j = px.withColumn("p", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).join(F.broadcast(t), ["img", "p"])  # at most 256 rows an image
+    j = px.withColumn("p", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).join(t, ["img", "p"])
     k = P.palette_width_bits(F.col("colours"))
     j = j.withColumn("k", k).withColumn("px", F.call_function("shiftright", F.col("x"), F.col("k"))).withColumn("sub", F.col("x") - F.call_function("shiftleft", F.col("px"), F.col("k")))
     width = F.call_function("shiftright", F.lit(8), F.col("k"))

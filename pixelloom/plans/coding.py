@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
-from pixelloom.functions import vp8l
+from pixelloom.functions import transforms, vp8l
 from pixelloom.operators import blocks, options, planning, quantizers, search, stencils
 from pixelloom.sources.fixtures import image, pixels, pixels_sql
 
@@ -375,6 +375,35 @@ def fixtures_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MISSING_SQL = "SELECT w.img, w.ord, n.n_name IS NOT NULL AS found FROM (VALUES ('FRANCE', 0), ('NOWHERE', 1), ('JAPAN', 2), ('ATLANTIS', 3)) w(img, ord) LEFT JOIN nation n ON n.n_name = w.img"
 
 
+def _block_transforms_sql() -> str:
+    """Forward transform, quantization and the inverse, each on 16 columns."""
+    luma = "((r * 16839 + g * 33059 + b * 6420 + 32768 + 1048576) >> 16)"
+    names = lambda k: [f"{k}{i}" for i in range(16)]
+    listed = lambda k, e: ", ".join(f"{x} AS {k}{i}" for i, x in enumerate(e))
+    take = ", ".join(f"sum(CASE WHEN (y % 4) * 4 + x % 4 = {i} THEN {luma} END) AS v{i}" for i in range(16))
+    down = lambda k, m: ["(" + " + ".join(f"CAST({m[i // 4][y]!r} AS DOUBLE) * {k}{4 * y + i % 4}" for y in range(4)) + ")" for i in range(16)]
+    across = lambda k, m: ["(" + " + ".join(f"CAST({m[i % 4][x]!r} AS DOUBLE) * {k}{4 * (i // 4) + x}" for x in range(4)) + ")" for i in range(16)]
+    level = lambda c: f"CAST(sign({c}) * least((abs({c}) * 256 + q * 128) // (q * 256), 2047) * q AS BIGINT)"
+    shift = lambda e, n: f"CAST(floor(({e}) / {1 << n}.0) AS BIGINT)"
+
+    def one(c: list[str]) -> list[str]:
+        odd = [f"({shift(f'{c[1]} * 85627', 16)} + {shift(f'{c[3]} * 35468', 16)})", f"({shift(f'{c[1]} * 35468', 16)} - {shift(f'{c[3]} * 85627', 16)})"]
+        return [f"{c[0]} + {c[2]} + {odd[0]}", f"{c[0]} - {c[2]} + {odd[1]}", f"{c[0]} - {c[2]} - {odd[1]}", f"{c[0]} + {c[2]} - {odd[0]}"]
+
+    columns = [one([f"l{4 * y + i}" for y in range(4)]) for i in range(4)]
+    rows = [one([f"m{4 * y + i}" for i in range(4)]) for y in range(4)]
+    error = " + ".join(f"(v{i} - least(greatest(128 + {shift(f'{rows[i // 4][i % 4]} + 4', 3)}, 0), 255)) ** 2" for i in range(16))
+    return f"""WITH px AS ({pixels_sql(['alpha128'])}), b AS (SELECT x // 4 AS bx, y // 4 AS by, {take} FROM px GROUP BY ALL), r AS (SELECT *, {listed('r', [f'v{i} - 128' for i in range(16)])} FROM b),
+d AS (SELECT *, {listed('d', down('r', transforms.COSINE))} FROM r), c AS (SELECT *, {listed('c', [f'CAST(floor({e} * 0.5 + 0.5) AS BIGINT)' for e in across('d', transforms.COSINE)])} FROM d),
+k AS (SELECT * FROM c, (VALUES (4), (16), (64)) t(q)), l AS (SELECT q, {', '.join(names('v'))}, {listed('l', [level(x) for x in names('c')])} FROM k),
+m AS (SELECT *, {listed('m', [columns[i % 4][i // 4] for i in range(16)])} FROM l) SELECT q, count(*) AS blocks, CAST(sum({error}) AS BIGINT) AS squared FROM m GROUP BY q"""
+
+
+IDENTITY_SQL = f"""WITH px AS ({pixels_sql(SMALL)}) SELECT img, sha256(unhex('8000000080000000' || string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY pos))) AS sha256, bool_or(a < 255) AS has_alpha FROM px GROUP BY img"""
+#: SQL of queries that stand in the registry.
+ORACLES = {"image_block_transforms": _block_transforms_sql(), "image_identity": IDENTITY_SQL}
+
+
 QUERIES = {
     tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
     skip_probabilities: SKIP_SQL, token_probabilities: TOKENS_SQL, token_costs: TOKEN_COSTS_SQL, options_resolved: OPTIONS_SQL, memory_gates: MEMORY_SQL, container_sizes: _containers_sql(), candidate_frontier: FRONTIER_SQL,

@@ -274,4 +274,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from pixelloom.plans import oracles
 
-    return oracles.ORACLES | {f.__name__: sql for f, sql in coding.QUERIES.items() if sql} | {"match_by_size": _nearest_sql(f"abs(r.bytes - l.bytes), {QD}"), "match_by_quality": _nearest_sql(f"{QD}, r.bytes")} | oracles.on_samples(SAMPLES_SQL)
+    return oracles.ORACLES | {f.__name__: sql for f, sql in coding.QUERIES.items() if sql} | coding.ORACLES | {"match_by_size": _nearest_sql(f"abs(r.bytes - l.bytes), {QD}"), "match_by_quality": _nearest_sql(f"{QD}, r.bytes")} | oracles.on_samples(SAMPLES_SQL)
