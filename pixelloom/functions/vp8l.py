@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pixelloom.operators.histograms import code_lengths
 
 #: Fixed values of the format.
@@ -254,41 +256,99 @@ class Layout:
     total_bits: int = 0
 
 
-def tokens_of(p: list[int], width: int, cache_bits: int, depth: int = 16) -> list[tuple]:
-    """Greedy parse: ('c', length, distance), ('k', slot) or ('l', pixel)."""
-    chains, out, cache, i, n = defaultdict(list), [], {}, 0, len(p)
+def copies_of(p: list[int], width: int, depth: int = 16) -> list[tuple[int, int, int]]:
+    """Greedy parse as (place, length, distance); distance 0 stands for single pixels.
+
+    Places with the same three pixels are tried from the last one back, after the pixel before and the one above; a match is measured
+    as arrays, and only if it would be longer than the best so far.
+    """
+    q, n = np.array(p, np.uint32), len(p)
+    key = np.zeros(n, np.uint64)
+    for k, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+        key[: max(0, n - 2)] += q[k : max(k, n - 2 + k)].astype(np.uint64) * np.uint64(factor)
+    keys, chains, out, i, single = key.tolist(), defaultdict(list), [], 0, 0
     while i < n:
         best, at = 0, 0
-        for j in reversed(chains.get((p[i], p[i + 1], p[i + 2]), [])[-depth:]) if i + 2 < n else ():
-            k = 3
-            while i + k < n and k < MOST_LENGTH and p[j + k] == p[i + k]:
-                k += 1
-            if k > best:
-                best, at = k, j
+        if i + 3 < n:
+            most = min(MOST_LENGTH, n - i)
+            for j in (*((i - d) for d in (1, width) if i >= d), *reversed(chains.get(keys[i], ())[-depth:])):
+                if best < most and p[j] == p[i] and p[j + best] == p[i + best] and p[j + 2] == p[i + 2]:
+                    short = 16 if most > 16 and p[j + 15] != p[i + 15] else most
+                    apart = q[j : j + short] != q[i : i + short]
+                    k = int(apart.argmax())
+                    k = k if apart[k] else short
+                    if k > best:
+                        best, at = k, j
+                        if k == most:
+                            break
         step = best if best >= 4 else 1
         if step > 1:
-            out.append(("c", best, i - at))
+            if single:
+                out.append((i - single, single, 0))
+                single = 0
+            out.append((i, step, i - at))
         else:
-            slot = (p[i] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            out.append(("k", slot) if cache_bits and cache.get(slot) == p[i] else ("l", p[i]))
-        for k in range(i, i + step):
-            if k + 2 < n:
-                chains[p[k], p[k + 1], p[k + 2]].append(k)
-            if cache_bits:
-                cache[(p[k] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = p[k]
+            single += 1
+        for k in range(i, min(i + step, n - 2)):
+            chains[keys[k]].append(k)
         i += step
+    if single:
+        out.append((n - single, single, 0))
     return out
 
 
-def put_image(bits: Bits, p: list[int], width: int, cache_bits: int = 0, main: bool = False) -> None:
-    """One entropy-coded image with one group of codes."""
+def with_cache(p: list[int], copies: list[tuple[int, int, int]], cache_bits: int) -> list[tuple]:
+    """Tokens of a parse: ('c', length, distance), ('k', slot) or ('l', pixel)."""
+    out: list[tuple] = []
+    if not cache_bits:
+        for at, n, distance in copies:
+            if distance:
+                out.append(("c", n, distance))
+            else:
+                out += [("l", v) for v in p[at : at + n]]
+        return out
+    slots = ((np.array(p, np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).tolist()
+    cache: list[int] = [0] * (1 << cache_bits)
+    for at, n, distance in copies:
+        if distance:
+            out.append(("c", n, distance))
+            for k in range(at, at + n):
+                cache[slots[k]] = p[k]
+        else:
+            for k in range(at, at + n):
+                s, v = slots[k], p[k]
+                out.append(("k", s) if cache[s] == v else ("l", v))
+                cache[s] = v
+    return out
+
+
+def tokens_of(p: list[int], width: int, cache_bits: int, depth: int = 16) -> list[tuple]:
+    return with_cache(p, copies_of(p, width, depth), cache_bits)
+
+
+def token_bits(tokens: list[tuple], width: int) -> float:
+    """About how many bits tokens take: entropies of the five alphabets, extra bits, and a few bits a symbol for the codes."""
+    literal = np.array([t[1] for t in tokens if t[0] == "l"], np.uint32)
+    copies = [(prefix(t[1]), prefix(distance_code(t[2], width))) for t in tokens if t[0] == "c"]
+    green = np.r_[literal >> 8 & 255, np.array([LITERALS + n[0] for n, _ in copies], np.uint32), np.array([LITERALS + LENGTHS + t[1] for t in tokens if t[0] == "k"], np.uint32)]
+    total = float(sum(n[1] + d[1] for n, d in copies))
+    for v in (green, literal >> 16 & 255, literal & 255, literal >> 24, np.array([d[0] for _, d in copies], np.uint32)):
+        n = np.bincount(v.astype(np.int64)) if len(v) else np.zeros(1)
+        n = n[n > 0].astype(float)
+        if len(n) > 1:
+            total += float((n * (np.log2(n.sum()) - np.log2(n))).sum()) + 5 * len(n)
+    return total
+
+
+def put_image(bits: Bits, p: list[int], width: int, cache_bits: int = 0, main: bool = False, tokens: list[tuple] | None = None) -> None:
+    """One entropy-coded image with one group of codes; its tokens may be known already."""
     bits.put(1 if cache_bits else 0, 1)
     if cache_bits:
         bits.put(cache_bits, 4)
     if main:
         bits.put(0, 1)
     counts, coded = [Counter() for _ in range(5)], []
-    for t in tokens_of(p, width, cache_bits):
+    for t in tokens_of(p, width, cache_bits) if tokens is None else tokens:
         if t[0] == "l":
             g, r, b, a = t[1] >> 8 & 255, t[1] >> 16 & 255, t[1] & 255, t[1] >> 24
             parts = [(0, g), (1, r), (2, b), (3, a)]
@@ -318,6 +378,61 @@ def _sub(a: int, b: int) -> int:
     return sum(((a >> s & 255) - (b >> s & 255) & 255) << s for s in (0, 8, 16, 24))
 
 
+def residuals(p: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """What a predictor leaves of a whole image (packed pixels), per channel and wrapped."""
+    f = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4).astype(np.int16)
+    n, guess = len(f), np.empty((len(f), 4), np.int16)
+    guess[0] = (0, 0, 0, 255)
+    guess[1:width] = f[: min(width, n) - 1]
+    if n > width:
+        left, top, right, corner = f[width - 1 : -1], f[:-width], f[1 : n - width + 1], np.concatenate([f[:1], f[: n - width - 1]])
+        half = lambda x, y: (x + y) >> 1
+        if mode == 0:
+            g = np.broadcast_to(guess[0], left.shape)
+        elif mode <= 4:
+            g = (left, top, right, corner)[mode - 1]
+        elif mode <= 10:
+            x, y = {5: (half(left, right), top), 6: (left, corner), 7: (left, top), 8: (corner, top), 9: (top, right), 10: (half(left, corner), half(top, right))}[mode]
+            g = half(x, y)
+        elif mode == 11:
+            g = np.where((np.abs(top - corner).sum(axis=1) < np.abs(left - corner).sum(axis=1))[:, None], left, top)
+        elif mode == 12:
+            g = np.clip(left + top - corner, 0, 255)
+        else:
+            mean = half(left, top)
+            g = np.clip(mean + ((mean - corner + (mean < corner)) >> 1), 0, 255)
+        guess[width:] = g
+        guess[width::width] = f[: n - width : width]
+    return np.ascontiguousarray((f - guess).astype(np.uint8)).view("<u4").reshape(-1)
+
+
+def green_left(p: np.ndarray) -> np.ndarray:
+    """Red and blue without green."""
+    green = p >> 8 & 255
+    return (p & 0xFF00FF00) | ((p >> 16) - green & 255) << 16 | (p - green & 255)
+
+
+def chained(p: np.ndarray, width: int, chain: tuple) -> np.ndarray:
+    """The pixels after a chain of 'green' and ('predict', mode)."""
+    for step in chain:
+        p = green_left(p) if step == "green" else residuals(p, width, step[1])
+    return p
+
+
+def screened_bits(p: np.ndarray, width: int) -> float:
+    """About what pixels cost: entropies of those that differ from the one before, and from those one and two rows above, and a bit for each 64 of the others."""
+    same = np.zeros(len(p), bool)
+    for d in (1, width, 2 * width):
+        if d < len(p):
+            same[d:] |= p[d:] == p[:-d]
+    left, total = p[~same], same.sum() / 64
+    for shift in (0, 8, 16, 24):
+        n = np.bincount((left >> shift & 255).astype(np.int64), minlength=1)
+        n = n[n > 0].astype(float)
+        total += float((n * (np.log2(max(1.0, n.sum())) - np.log2(n))).sum()) + 5 * len(n)
+    return total
+
+
 def _add(a: int, b: int) -> int:
     return sum(((a >> s & 255) + (b >> s & 255) & 255) << s for s in (0, 8, 16, 24))
 
@@ -357,60 +472,93 @@ def _signed(v: int) -> int:
     return (v + 128) % 256 - 128
 
 
-def _payload(p: list[int], width: int, height: int, chain: tuple, cache_bits: int, keep: bool) -> Bits:
-    """The stream with a chain of transforms: 'green', ('predict', mode) or 'palette'."""
+def _payload(p: list[int], width: int, height: int, chain: tuple, cache_bits: int, keep: bool, tokens: list[tuple] | None = None) -> Bits:
+    """The stream with a chain of transforms: 'green', ('predict', mode) or 'palette'. tokens: those of the last image, if they are known."""
     bits = Bits(keep)
     bits.put(SIGNATURE, 8)
     bits.put(width - 1, 14)
     bits.put(height - 1, 14)
     bits.put(any(v >> 24 != 255 for v in p), 1)
     bits.put(0, 3)
+    q = np.array(p, np.uint32)
     for step in chain:
         bits.put(1, 1)
         if step == "green":
             bits.put(GREEN, 2)
-            p = [v & 0xFF00FF00 | ((v >> 16) - (v >> 8) & 255) << 16 | (v - (v >> 8) & 255) for v in p]
+            q = green_left(q)
         elif step == "palette":
-            table = sorted(set(p))
+            table, at = np.unique(q, return_inverse=True)
             bits.put(PALETTE, 2)
             bits.put(len(table) - 1, 8)
-            put_image(bits, [_sub(v, table[i - 1] if i else 0) for i, v in enumerate(table)], len(table))
-            at, n = {v: i for i, v in enumerate(table)}, len(table)
-            k = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            rows, size = [], 8 >> k
-            for y in range(height):
-                row = [at[v] for v in p[y * width : (y + 1) * width]]
-                rows += [0xFF000000 | sum(v << (size * j) for j, v in enumerate(row[x : x + (1 << k)])) << 8 for x in range(0, width, 1 << k)]
-            p, width = rows, -(-width >> k) if k else width
+            colours = table.tolist()
+            put_image(bits, [_sub(v, colours[i - 1] if i else 0) for i, v in enumerate(colours)], len(colours))
+            q, width = bundled(at.reshape(height, width), len(table))
         else:
             bits.put(PREDICTOR, 2)
             size = 9
             bits.put(size - 2, 3)
             w, h = (width + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size
             put_image(bits, [0xFF000000 | step[1] << 8] * (w * h), w)
-            p = [_sub(v, predicted(p, i, width, step[1])) for i, v in enumerate(p)]
+            q = residuals(q, width, step[1])
     bits.put(0, 1)
-    put_image(bits, p, width, cache_bits, main=True)
+    put_image(bits, q.tolist(), width, cache_bits, True, tokens)
     return bits
 
 
-#: Chains that each mode tries: the fast one none but a palette, the best one several predictors.
+def bundled(index: np.ndarray, colours: int) -> tuple[np.ndarray, int]:
+    """(pixels, width) of palette indexes by rows, 1 to 8 to a pixel, the first in the lowest bits of green."""
+    k = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    height, width = index.shape
+    wide = -(-width >> k) if k else width
+    padded = np.zeros((height, wide << k), np.uint32)
+    padded[:, :width] = index
+    packed = np.zeros((height, wide), np.uint32)
+    for j in range(1 << k):
+        packed |= padded[:, j :: 1 << k] << np.uint32((8 >> k) * j)
+    return (packed << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1), wide
+
+
+_MODES = (1, 2, 12, 3, 7, 11)
+#: Chains that each mode looks at: the fast one none but a palette, the best one every predictor.
 CHAINS = {
-    "fast": [()], "default": [(), ("green",), ("green", ("predict", 11))], "low-memory": [(), ("green",)],
-    "best": [(), ("green",), *[("green", ("predict", m)) for m in (1, 2, 4, 7, 11, 12, 13)], *[(("predict", m),) for m in (1, 2, 11, 12)]],
+    "fast": [()], "default": [(), ("green",), *[c for m in _MODES for c in ((("predict", m),), ("green", ("predict", m)))]], "low-memory": [(), ("green",)],
+    "best": [(), ("green",), *[c for m in range(1, 14) for c in ((("predict", m),), ("green", ("predict", m)))]],
 }
+#: Chains whose pixels are parsed, of those with the least screened bits; places tried for a match; cache sizes.
+FINALISTS = {"fast": 1, "default": 3, "low-memory": 2, "best": 5}
+DEPTH = {"fast": 4, "default": 16, "low-memory": 8, "best": 64}
+CACHES = {"fast": (0,), "default": (0, *range(1, 12)), "low-memory": (0, 6), "best": (0, *range(1, 12))}
 
 
 def encode(p: list[int], width: int, height: int, mode: str = "default") -> bytes:
-    """The smallest of the mode's candidates; the first of equals."""
+    """Of the mode's chains the one that takes the fewest bits; the first of equals.
+
+    All chains are screened as arrays; the best are parsed once each, and all cache sizes are weighed on the best parse.
+    """
     if not (1 <= width <= 16384 and 1 <= height <= 16384 and len(p) == width * height):
         raise ValueError("width and height must be from 1 to 16384 and match the pixels")
-    chains = list(CHAINS[mode])
-    if len(set(p)) <= 256:
-        chains.append(("palette",))
-    tries = [(c, k) for c in chains for k in ((0,) if mode == "fast" else (0, 6) if mode != "best" else (0, 4, 8))]
-    best = min(tries, key=lambda t: _payload(p, width, height, *t, keep=False).count)
-    return _payload(p, width, height, *best, keep=True).done()
+    q, plans = np.array(p, np.uint32), []
+    screened = [(screened_bits(pixels, width), i, chain, pixels) for i, chain in enumerate(CHAINS[mode]) for pixels in [chained(q, width, chain)]]
+    screened = sorted(screened, key=lambda t: t[:2])[: FINALISTS[mode]]
+    finalists = [(bits, chain, pixels, width) for bits, _, chain, pixels in screened if bits <= 2 * screened[0][0]]
+    colours = np.unique(q)
+    if len(colours) <= 256:
+        pixels, wide = bundled(np.searchsorted(colours, q).reshape(height, width), len(colours))
+        finalists.append((screened_bits(pixels, wide), ("palette",), pixels, wide))
+    least = min(bits for bits, *_ in finalists)
+    for _, chain, pixels, wide in [f for f in finalists if f[0] <= 2 * least]:
+        values = pixels.tolist()
+        copies = copies_of(values, wide, DEPTH[mode])
+        tokens = with_cache(values, copies, 0)
+        own = 16 * len(colours) if chain == ("palette",) else 20 * len(chain)
+        plans.append((token_bits(tokens, wide) + own, len(plans), chain, 0, tokens, values, copies, wide, own))
+    _, _, chain, _, _, values, copies, wide, own = min(plans, key=lambda t: t[:2])
+    if sum(n for _, n, d in copies if not d) > 64:
+        for bits in CACHES[mode][1:]:
+            tokens = with_cache(values, copies, bits)
+            plans.append((token_bits(tokens, wide) + own, len(plans), chain, bits, tokens))
+    best = min(plans, key=lambda t: t[:2])
+    return _payload(p, width, height, best[2], best[3], True, best[4]).done()
 
 
 def _get_image(r: Reader, width: int, height: int, lay: Layout, main: bool) -> list[int]:

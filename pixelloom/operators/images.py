@@ -32,7 +32,7 @@ def encode(images: DataFrame, mode: str = "default") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            out = [vp8l.container(vp8l.encode([int(v) for v in r.argb], int(r.width), int(r.height), mode), **{c: getattr(r, c) for c in extra}) for r in t.itertuples()]
+            out = [vp8l.container(vp8l.encode(np.asarray(r.argb).tolist(), int(r.width), int(r.height), mode), **{c: getattr(r, c) for c in extra}) for r in t.itertuples()]
             yield pd.DataFrame({"img": t["img"], "webp": out})
 
     return images.select("img", "width", "height", "argb", *extra).mapInPandas(run, "img string, webp binary")
@@ -47,7 +47,7 @@ def candidates(images: DataFrame, mode: str = "best") -> DataFrame:
         for t in batches:
             rows = []
             for r in t.itertuples():
-                p, chain = [int(v) for v in r.argb], by_number[r.candidate]
+                p, chain = np.asarray(r.argb).tolist(), by_number[r.candidate]
                 if chain != ("palette",) or len(set(p)) <= 256:
                     rows.append((r.img, r.candidate, vp8l._payload(p, int(r.width), int(r.height), chain, 0, False).count))
             yield pd.DataFrame(rows, columns=["img", "candidate", "bits"])
@@ -100,7 +100,7 @@ def timed(images: DataFrame, mode: str = "default", runs: int = 3) -> DataFrame:
         for t in batches:
             rows = []
             for r in t.itertuples():
-                p = [int(v) for v in r.argb]
+                p = np.asarray(r.argb).tolist()
                 first = vp8l.encode(p, int(r.width), int(r.height), mode)
                 for n in range(runs):
                     start = time.perf_counter_ns()
