@@ -121,6 +121,21 @@ def row_matches(px: DataFrame, value: str = "a") -> DataFrame:
     return best.select("img", "pos", (-F.col("b.n")).alias("length"), "b.code")
 
 
+def stream_bytes(header_bits: Column, data_bits: Column, extra_bits: Column) -> Column:
+    """Whole bytes of a stream."""
+    return P.div(header_bits + data_bits + extra_bits + 7, 8)
+
+
+def alpha_choice(candidates: DataFrame, raw: DataFrame) -> DataFrame:
+    """(img, filter, packed, bytes): the smallest of the raw plane, a byte a pixel, and of the coded ones; raw wins ties, then the filters in order.
+
+    candidates: (img, ord, filter, bytes). raw: (img, pixels).
+    """
+    own = raw.select("img", F.lit(-1).alias("ord"), F.lit("none").alias("filter"), F.lit(False).alias("packed"), F.col("pixels").alias("bytes"))
+    both = candidates.select("img", F.col("ord").cast("int").alias("ord"), "filter", F.lit(True).alias("packed"), "bytes").unionByName(own)
+    return both.groupBy("img").agg(F.min(F.struct("bytes", "ord", "filter", "packed")).alias("b")).select("img", "b.filter", "b.packed", "b.bytes")
+
+
 def useful_caches(hits: DataFrame, least: int = 8) -> DataFrame:
     """Cache sizes with enough hits."""
     return hits.where(F.col("hits") >= least)

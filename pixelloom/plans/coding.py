@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import pixel as P
 from pixelloom.functions import transforms, vp8l
 from pixelloom.operators import blocks, options, planning, quantizers, search, stencils
+from pixelloom.plans import oracles
 from pixelloom.sources.fixtures import image, pixels, pixels_sql
 
 SMALL = ["gradient128", "flat128", "alpha128"]
@@ -404,8 +405,20 @@ IDENTITY_SQL = f"""WITH px AS ({pixels_sql(SMALL)}) SELECT img, sha256(unhex('80
 ORACLES = {"image_block_transforms": _block_transforms_sql(), "image_identity": IDENTITY_SQL}
 
 
+def image_alpha_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an alpha plane is stored raw or coded, and under which filter."""
+    px = pixels(spark, ["alpha128"])
+    costs = planning.alpha_filter_costs(px, 128).withColumn("ord", F.array_position(F.array(*[F.lit(f) for f in ("none", "horizontal", "vertical", "gradient")]), F.col("filter")))
+    coded = costs.withColumn("bytes", search.stream_bytes(F.col("symbols") * 4 + 60, F.ceil("entropy"), F.lit(0)))
+    return search.alpha_choice(coded, px.groupBy("img").agg(F.count("*").alias("pixels")))
+
+
+ALPHA_SQL = f"""WITH f AS ({oracles._alpha()}), c AS (SELECT img, CASE filter WHEN 'none' THEN 1 WHEN 'horizontal' THEN 2 WHEN 'vertical' THEN 3 ELSE 4 END AS ord, filter, TRUE AS packed, CAST(symbols * 4 + 60 + ceil(entropy) + 7 AS BIGINT) // 8 AS bytes FROM f
+UNION ALL SELECT 'alpha128', -1, 'none', FALSE, 16384) SELECT img, filter, packed, bytes FROM c QUALIFY row_number() OVER (PARTITION BY img ORDER BY bytes, ord) = 1"""
+
+
 QUERIES = {
-    tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
+    image_alpha_choice: ALPHA_SQL, tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
     skip_probabilities: SKIP_SQL, token_probabilities: TOKENS_SQL, token_costs: TOKEN_COSTS_SQL, options_resolved: OPTIONS_SQL, memory_gates: MEMORY_SQL, container_sizes: _containers_sql(), candidate_frontier: FRONTIER_SQL,
     candidate_reservoir: RESERVOIR_SQL, candidate_finalists: FINALISTS_SQL, candidate_stages: STAGES_SQL, match_top: MATCH_SQL, match_undominated: UNDOMINATED_SQL, match_extra_bits: EXTRA_SQL, image_row_matches: _row_matches_sql(),
     image_cache_costs: CACHES_SQL, image_sampled_counts: SAMPLED_SQL, image_palette_orders: PALETTES_SQL, tile_groups: TILES_SQL, tile_regrouping: REGROUP_SQL, symbol_bits: SYMBOLS_SQL, image_sharp_chroma: None,
