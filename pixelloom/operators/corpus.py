@@ -42,9 +42,16 @@ def group_totals(idx: DataFrame, first: str, second: str, size: str) -> DataFram
 
 
 def corpus_digest(idx: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted digests of a corpus, as a tree: digests of 256 buckets by first byte, then of those 256."""
-    parts = idx.groupBy(F.substring("sha256", 1, 2).alias("bucket")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("sha256"))), 256).alias("d"))
-    return parts.agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda s: s["d"])), 256).alias("digest"))
+    """SHA-256 over the sorted digests of a corpus, as a tree: digests of buckets by their first six hex digits, then of those by four, by two, and of all.
+
+    A bucket of the lowest level holds one digest in 16 million; those above hold 256 at most.
+    """
+    parts = idx.select("sha256", F.col("sha256").alias("d"))
+    for digits in (6, 4, 2, 0):
+        own = F.substring("sha256", 1, digits) if digits else F.lit("")
+        joined = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("sha256", "d"))), lambda s: s["d"]))
+        parts = parts.groupBy(own.alias("bucket")).agg(F.sha2(joined, 256).alias("d")).withColumnRenamed("bucket", "sha256")
+    return parts.select(F.col("d").alias("digest"))
 
 
 def pixel_identity(px: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def channel_entropy(px: DataFrame, *by: str) -> DataFrame:
 
 
 def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
-    """Prefix code lengths; equal weights merge in the order of their smallest symbol. Too deep a tree becomes a balanced one."""
+    """Prefix code lengths; equal weights merge in the order of their smallest symbol. Too deep a tree gives way to the best code within the limit."""
     live = sorted(s for s, n in counts.items() if n > 0)
     if len(live) < 2:
         return dict.fromkeys(live, 1)
@@ -44,12 +44,21 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
         for s in x + y:
             depth[s] += 1
         heapq.heappush(heap, (n + m, min(a, b), x + y))
-    if max(depth.values()) > most:
-        bits = (len(live) - 1).bit_length()
-        short = (1 << bits) - len(live)
-        ranked = sorted(live, key=lambda s: (-counts[s], s))
-        return {s: bits - 1 if i < short else bits for i, s in enumerate(ranked)}
-    return depth
+    return depth if max(depth.values()) <= most else limited_lengths({s: counts[s] for s in live}, most)
+
+
+def limited_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
+    """The lengths of least total cost of which none is over `most`, by package merge: a symbol's length is the number of chosen packages that hold it."""
+    coins = sorted((n, [s]) for s, n in counts.items())
+    packages: list[tuple[int, list[int]]] = []
+    for _ in range(most):
+        level = sorted([*coins, *packages])
+        packages = [(level[i][0] + level[i + 1][0], level[i][1] + level[i + 1][1]) for i in range(0, len(level) - 1, 2)]
+    lengths = dict.fromkeys(counts, 0)
+    for _, held in packages[: len(counts) - 1]:
+        for s in held:
+            lengths[s] += 1
+    return lengths
 
 
 def canonical_codes(lengths: DataFrame, *by: str) -> DataFrame:

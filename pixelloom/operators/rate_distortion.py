@@ -162,8 +162,13 @@ def interpolated(points: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def timing(runs: DataFrame, *by: str) -> DataFrame:
-    """Integer median (mean of the middle two, rounded down from the lower) and integer mean of (by..., ns)."""
-    s = runs.groupBy(*by).agg(F.array_sort(F.collect_list("ns")).alias("v"), F.sum("ns").alias("total"), F.count("*").alias("runs"))
-    lower = F.element_at("v", P.div(F.col("runs") + 1, 2).cast("int"))
-    upper = F.element_at("v", (P.div(F.col("runs"), 2) + 1).cast("int"))
-    return s.select(*by, "runs", (lower + P.div(upper - lower, 2)).alias("median_ns"), P.div(F.col("total"), F.col("runs")).alias("mean_ns"))
+    """Integer median (mean of the middle two, rounded down from the lower) and integer mean of (by..., ns).
+
+    Ranks come from counts of equal times summed in order, so no list of a group's runs is gathered.
+    """
+    counts = runs.groupBy(*by, "ns").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*by)
+    c = counts.withColumn("upto", F.sum("n").over(own.orderBy("ns"))).withColumn("runs", F.sum("n").over(own))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("ns")))
+    g = c.groupBy(*by).agg(F.max("runs").alias("runs"), at(P.div(F.col("runs") + 1, 2)).alias("lower"), at(P.div(F.col("runs"), 2) + 1).alias("upper"), F.sum(F.col("ns") * F.col("n")).alias("total"))
+    return g.select(*by, "runs", (F.col("lower") + P.div(F.col("upper") - F.col("lower"), 2)).alias("median_ns"), P.div(F.col("total"), F.col("runs")).alias("mean_ns"))

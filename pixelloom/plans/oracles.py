@@ -175,7 +175,7 @@ _UNPACK = {"a": "(p >> 24) & 255", "r": "(p >> 16) & 255", "g": "(p >> 8) & 255"
 ORACLES = {
     "corpus_split_summary": INDEX.format(p=20) + "SELECT count(*) AS files, count(DISTINCT h) AS distinct_files, count(*) - count(DISTINCT h) AS duplicates, count(*) FILTER (WHERE split = 'holdout') AS holdout, count(*) FILTER (WHERE split = 'train') AS train, CAST(sum(n_chars) AS BIGINT) AS total FROM s",
     "corpus_index": INDEX.format(p=25) + "SELECT doc_id, substr(h, 1, 16) AS id, split FROM s",
-    "corpus_digest": "WITH h AS (SELECT sha256(text) AS h FROM documents), b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sha256(string_agg(d, ',' ORDER BY bucket)) AS digest FROM b",
+    "corpus_digest": "WITH a AS (SELECT sha256(text) AS k, sha256(text) AS d FROM documents), " + ", ".join(f"{to} AS (SELECT substr(k, 1, {n}) AS k, sha256(string_agg(d, ',' ORDER BY k, d)) AS d FROM {of} GROUP BY substr(k, 1, {n}))" for of, to, n in (("a", "b", 6), ("b", "c", 4), ("c", "e", 2))) + " SELECT sha256(string_agg(d, ',' ORDER BY k)) AS digest FROM e",
     "corpus_distribution": "WITH l AS (SELECT lang, list(n_chars ORDER BY n_chars) AS a, count(*) AS n FROM documents GROUP BY lang) SELECT lang, a[1] AS min, a[(n - 1) * 50 // 100 + 1] AS p50, a[(n - 1) * 90 // 100 + 1] AS p90, a[n] AS max FROM l",
     "corpus_grouping_sets": "SELECT lang, source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total, grouping_id(lang, source) AS grouping FROM documents GROUP BY GROUPING SETS ((), (lang), (source))",
     "timing_statistics": "WITH t AS (SELECT l_suppkey, list(CAST(floor(l_extendedprice) AS BIGINT) ORDER BY l_extendedprice) AS v, count(*) AS runs, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY 1) SELECT l_suppkey, runs, v[(runs + 1) // 2] + (v[runs // 2 + 1] - v[(runs + 1) // 2]) // 2 AS median_ns, total // runs AS mean_ns FROM t",
