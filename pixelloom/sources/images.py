@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from pixelloom.operators import corpus
 
 #: File name endings that count as images, in any case.
 ENDINGS = ("jpg", "jpeg", "png")
+#: Pixels that are unpacked at once.
+CHUNK = 1 << 18
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,16 +25,29 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """The pixel table of all images that the JVM can decode; hidden colour under alpha 0 stays. img is the file's address."""
-    i = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
-    n = F.col("nChannels")
-    p = i.select(F.col("origin").alias("img"), "width", "height", "nChannels", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("pos"))
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, CAST(pos * nChannels + {k} + 1 AS INT), 1)")), 16, 10).cast("int")
-    grey = n == 1
-    return p.select(
-        "img", "width", "height", "pos", (F.col("pos") % F.col("width")).alias("x"), P.div(F.col("pos"), F.col("width")).alias("y"),
-        F.when(grey, byte(0)).otherwise(byte(2)).alias("r"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"), F.when(n == 4, byte(3)).otherwise(255).alias("a"),
-    )
+    """The pixel table of all images that the JVM can decode; hidden colour under alpha 0 stays. img is the file's address.
+
+    An image's bytes are unpacked as arrays, at most CHUNK pixels at once. Files that cannot be decoded have no pixels; unreadable() names them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for img, w, h, n, data in zip(*(b.column(c).to_pylist() for c in ("origin", "width", "height", "nChannels", "data"))):
+                v = np.frombuffer(data, np.uint8).reshape(-1, n)
+                for at in range(0, len(v), CHUNK):
+                    part = v[at : at + CHUNK].astype(np.int32)
+                    pos = np.arange(at, at + len(part))
+                    blue, green, red = (part[:, 0],) * 3 if n == 1 else (part[:, k] for k in range(3))
+                    alpha = part[:, 3] if n == 4 else np.full(len(part), 255, np.int32)
+                    yield pa.RecordBatch.from_pydict({"img": [img] * len(part), "width": np.full(len(part), w, np.int32), "height": np.full(len(part), h, np.int32), "pos": pos, "x": pos % w, "y": pos // w, "r": red, "g": green, "b": blue, "a": alpha})
+
+    i = spark.read.format("image").load(folder).where("image.width > 0").select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    return i.mapInArrow(run, "img string, width int, height int, pos long, x long, y long, r int, g int, b int, a int")
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(img): files that the JVM cannot decode as images."""
+    return spark.read.format("image").load(folder).where("image.width <= 0").select(F.col("image.origin").alias("img"))
 
 
 def index(spark: SparkSession, folder: str, percent: int = 20) -> DataFrame:

@@ -45,3 +45,10 @@ def test_stream(spark, tmp_path):
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert vp8l.decode(dict(vp8l.chunks(r.webp))["VP8L"])[:2] == (16, 16)
     assert encoding.sizes_by_window(encoding.arrivals(spark, str(tmp_path / "in"))).isStreaming
+
+
+def test_unreadable_files_are_named(spark, tmp_path):
+    (tmp_path / "good.png").write_bytes(png(2, 2, [(1, 2, 3, 4)] * 4))
+    (tmp_path / "bad.png").write_bytes(b"\x89PNG\r\n\x1a\nnothing more")
+    assert [r.img.rsplit("/", 1)[1] for r in source.unreadable(spark, str(tmp_path)).collect()] == ["bad.png"]
+    assert [(r.r, r.g, r.b, r.a) for r in source.pixels(spark, str(tmp_path)).collect()] == [(1, 2, 3, 4)] * 4
