@@ -192,18 +192,27 @@ def _seeds(smaller: np.ndarray, space: Space) -> np.ndarray:
     return seeds
 
 
-def _names(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: np.ndarray, symbols: int, depth: int) -> np.ndarray:
+def _typed(text: np.ndarray, smaller: np.ndarray, space: Space) -> np.ndarray:
+    """Symbols and types as one number from 1 on."""
+    typed = space.array(len(text), np.int32)
+    for a, b in chunks(len(text)):
+        typed[a:b] = text[a:b]
+        typed[a:b] = 2 * typed[a:b] + smaller[a:b] + 1
+    return typed
+
+
+def _names(typed: np.ndarray, starts: np.ndarray, size: np.ndarray, symbols: int, depth: int) -> np.ndarray:
     """Ranks (not dense) of the stretches of such sizes, by symbols and types."""
     bits = int(2 * symbols + 2).bit_length()
     each = max(1, 62 // bits)
     name, active = np.zeros(len(starts), np.int64), np.arange(len(starts))
-    done, last = 0, len(text) - 1
+    done, last = 0, len(typed) - 1
     while len(active) and done < depth + each:
-        key = np.zeros(len(active), np.int64)
+        key, at, left = np.zeros(len(active), np.int64), starts[active], size[active]
         for k in range(done, done + each):
-            at = np.minimum(starts[active] + k, last)
-            key = key << bits | np.where(k < size[active], text[at].astype(np.int64) * 2 + smaller[at] + 1, 0)
-        order = np.lexsort((key, name[active]))
+            key <<= bits
+            key |= np.where(k < left, typed[np.minimum(at + k, last)], 0)
+        order = np.lexsort((key, name[active])) if done else np.argsort(key, kind="stable")
         sorted_, n, k = active[order], name[active][order], key[order]
         group = np.r_[True, n[1:] != n[:-1]]
         new = group | np.r_[True, k[1:] != k[:-1]]
@@ -216,7 +225,15 @@ def _names(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, size: np.n
     return name
 
 
-def _ranks(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, symbols: int, depth: int, space: Space) -> tuple[np.ndarray, int]:
+def _dense(name: np.ndarray) -> tuple[np.ndarray, int]:
+    """(names numbered without gaps, how many); names are below their number."""
+    used = np.zeros(len(name), np.int32)
+    used[name] = 1
+    number = np.cumsum(used, dtype=np.int32)
+    return number[name] - np.int32(1), int(number[-1])
+
+
+def _ranks(text: np.ndarray, typed: np.ndarray, seeds: np.ndarray, symbols: int, depth: int, space: Space) -> tuple[np.ndarray, int]:
     """(dense ranks of the stretches from each seed to the next, both included; number of different ones).
 
     Seeds are dealt by their first one or two symbols into blocks of about CHUNK, and named block by block.
@@ -224,33 +241,53 @@ def _ranks(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, symbols: in
     m, two = len(seeds), symbols <= SYMBOLS
     size = lambda at: np.r_[seeds[1:], seeds[-1]][at] - seeds[at] + 1 if m <= CHUNK else np.asarray(seeds[np.minimum(at + 1, m - 1)]) - seeds[at] + 1
     if m <= CHUNK:
-        name = _names(text, smaller, seeds, size(np.arange(m)), symbols, depth)
-        kinds, rank = np.unique(name, return_inverse=True)
-        return space.keep(rank), len(kinds)
+        rank, kinds = _dense(_names(typed, seeds, size(np.arange(m)), symbols, depth))
+        return space.keep(rank), kinds
     lead = lambda p: text[p].astype(np.int64) * symbols + text[np.minimum(p + 1, len(text) - 1)] if two else np.asarray(text[p]).astype(np.int64)
     count = np.zeros(symbols * symbols if two else symbols, np.int64)
     for a, b in chunks(m):
         count += np.bincount(lead(seeds[a:b]), minlength=len(count))
     block = (np.cumsum(count) - count) // CHUNK
-    rank, base = space.array(m, np.int64), 0
+    rank, base = space.array(m, np.int32), 0
     for k in np.unique(block[count > 0]).tolist():
         at = np.concatenate([a + np.flatnonzero(block[lead(seeds[a:b])] == k) for a, b in chunks(m)])
-        kinds, rank[at] = np.unique(_names(text, smaller, np.asarray(seeds[at]), size(at), symbols, depth), return_inverse=True)
-        rank[at] += base
-        base += len(kinds)
+        own, kinds = _dense(_names(typed, np.asarray(seeds[at]), size(at), symbols, depth))
+        rank[at] = own + base
+        base += kinds
     return rank, base
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, up to depth, of which so many symbols are known to agree."""
-    out, open_, ahead, last = np.minimum(known, depth), np.flatnonzero(known < depth), np.arange(4), len(text) - 1
-    while len(open_):
-        at = out[open_][:, None] + ahead
-        differ = text[np.minimum(a[open_][:, None] + at, last)] != text[np.minimum(b[open_][:, None] + at, last)]
-        some = differ.any(axis=1)
-        out[open_] += np.where(some, differ.argmax(axis=1), len(ahead))
-        open_ = open_[~some & (out[open_] < depth)]
-    return np.minimum(out, depth).astype(np.uint16)
+class _Prefixes:
+    """Common prefixes of pairs of suffixes, up to depth. Texts that fit in a few chunks are looked at some symbols at once, as numbers; others one by one."""
+
+    def __init__(self, text: np.ndarray, symbols: int, depth: int, exact: bool):
+        self.text, self.depth, self.exact, self.last = text, depth, exact, len(text) - 1
+        self.bits = max(1, (symbols - 1).bit_length())
+        self.each = max(1, 52 // self.bits)  # few enough for an exact double
+        self.words = None
+        if len(text) <= 4 * CHUNK:
+            self.words = np.zeros(len(text), np.int64)
+            for k in range(self.each):
+                self.words <<= self.bits
+                self.words[: max(0, len(text) - k)] |= text[k:]
+
+    def of(self, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """For pairs of which so many symbols are known to agree. If that need not be exact, at least so many, and one look further."""
+        depth, last = self.depth, self.last
+        out, open_ = np.minimum(known, depth), np.flatnonzero(known < depth)
+        while len(open_):
+            d = out[open_]
+            x, y = np.minimum(a[open_] + d, last), np.minimum(b[open_] + d, last)
+            if self.words is None:
+                some = self.text[x] != self.text[y]
+                out[open_] += ~some
+            else:
+                apart = self.words[x] ^ self.words[y]
+                some = apart != 0
+                # the highest bit that differs tells the symbol; it is 0 bits where none does
+                out[open_] += np.where(some, self.each - 1 - (np.frexp(apart.astype(np.float64))[1] - 1) // self.bits, self.each)
+            open_ = open_[~some & (out[open_] < depth)] if self.exact else open_[:0]
+        return np.minimum(out, depth).astype(np.uint16)
 
 
 def _run(text: np.ndarray, position: int, depth: int) -> int:
@@ -269,7 +306,7 @@ def _turns(smaller: np.ndarray, a: int, b: int, carry: int) -> np.ndarray:
     return np.minimum.accumulate(np.where(change, place, 1 << 62)[::-1])[::-1]
 
 
-def _induced(text: np.ndarray, smaller: np.ndarray, sorted_seeds: np.ndarray, symbols: int, depth: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
+def _induced(text: np.ndarray, smaller: np.ndarray, typed: np.ndarray, sorted_seeds: np.ndarray, symbols: int, depth: int, space: Space, exact: bool) -> tuple[np.ndarray, np.ndarray]:
     """suffix_order() of a sequence with very many symbols, by the order of its seeds."""
     n, m = len(text), len(sorted_seeds)
     count = np.zeros(symbols, np.int64)
@@ -298,7 +335,7 @@ def _induced(text: np.ndarray, smaller: np.ndarray, sorted_seeds: np.ndarray, sy
         if got is None:
             return none
         position, size = got[0], got[1].astype(np.int64)
-        name = _names(text, smaller, position, size + 1, symbols, depth)
+        name = _names(typed, position, size + 1, symbols, depth)
         return position[np.lexsort((place[np.minimum(position + size, n - 1)], name))]
 
     first, rank = space.queue(windows), 0
@@ -311,17 +348,21 @@ def _induced(text: np.ndarray, smaller: np.ndarray, sorted_seeds: np.ndarray, sy
     out[0] = n - 1
     for w in range(windows):
         both = np.r_[first.pop(w)[0], in_order(smalls.pop(w))]
-        both = both[np.argsort(2 * text[both].astype(np.int64) + smaller[both], kind="stable")]
+        both = both[np.argsort(typed[both], kind="stable")]
         out[end : end + len(both)] = both
         end += len(both)
+    prefixes = _Prefixes(text, symbols, depth, exact)
     for a, b in chunks(n - 1):
-        out_prefix[a + 1 : b + 1] = _common(text, out[a:b], out[a + 1 : b + 1], np.zeros(b - a, np.int64), depth)
+        out_prefix[a + 1 : b + 1] = prefixes.of(out[a:b], out[a + 1 : b + 1], np.zeros(b - a, np.int64))
     space.free(place)
     return out, out_prefix
 
 
-def suffix_order(text: np.ndarray, depth: int, space: Space | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in suffix order, common prefix of each with the one before). text: symbols from 1 on; its last symbol must be 0."""
+def suffix_order(text: np.ndarray, depth: int, space: Space | None = None, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in suffix order, common prefix of each with the one before). text: symbols from 1 on; its last symbol must be 0.
+
+    The recursion asks for prefixes that need not be exact, as it only wants to know how much it need not compare again: no common prefix is shorter.
+    """
     space, n = space or Space(), len(text)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.uint16)
@@ -329,14 +370,16 @@ def suffix_order(text: np.ndarray, depth: int, space: Space | None = None) -> tu
     smaller = _types(text, space)
     seeds = _seeds(smaller, space)  # the last position is one
     m = len(seeds)
-    rank, kinds = _ranks(text, smaller, seeds, symbols, depth, space)
+    typed = _typed(text, smaller, space)
+    rank, kinds = _ranks(text, typed, seeds, symbols, depth, space)
     if kinds == m:
         order, shared = space.array(m, np.int64), None
         for a, b in chunks(m):
             order[rank[a:b]] = np.arange(a, b)
     else:
-        order, shared = suffix_order(rank, depth // 2 + 1, space)
+        order, shared = suffix_order(rank, depth // 2 + 1, space, False)
     space.free(rank)
+    prefixes = _Prefixes(text, symbols, depth, exact)
     sorted_seeds, seed_prefix = space.array(m, np.int64), space.array(m, np.uint16)
     for a, b in chunks(m):
         o = np.asarray(order[max(0, a - 1) : b])
@@ -344,14 +387,15 @@ def suffix_order(text: np.ndarray, depth: int, space: Space | None = None) -> tu
         sorted_seeds[a:b] = p if not a else p[1:]
         same = np.zeros(len(o) - 1, np.int64) if shared is None else np.asarray(shared[max(1, a) : b]).astype(np.int64)
         known = seeds[np.minimum(o[1:] + same, m - 1)] - p[1:]
-        seed_prefix[max(1, a) : b] = _common(text, p[:-1], p[1:], known, depth)
+        seed_prefix[max(1, a) : b] = prefixes.of(p[:-1], p[1:], known)
     space.free(seeds, order, *([] if shared is None else [shared]))
     seeds = sorted_seeds
 
     if symbols > SYMBOLS:
-        found = _induced(text, smaller, seeds, symbols, depth, space)
-        space.free(smaller, seeds, seed_prefix)
+        found = _induced(text, smaller, typed, seeds, symbols, depth, space, exact)
+        space.free(smaller, typed, seeds, seed_prefix)
         return found
+    space.free(typed)
     lots = np.zeros(symbols, np.int64)
     for a, b in chunks(m):
         lots += np.bincount(text[seeds[a:b]], minlength=symbols)

@@ -181,12 +181,19 @@ def first_runs(stretches: list[bytes], docs: np.ndarray, length: int = LENGTH, s
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     # symbol 1 parts stretches, 0 ends the text
     text = space.array(int(sizes.sum()) + len(sizes) + 1, np.int16)
-    for i, (at, s) in enumerate(zip(starts.tolist(), stretches)):
-        text[at : at + len(s)] = np.frombuffer(s, np.uint8)
+    for lo in range(0, len(stretches), 4096):
+        some = np.frombuffer(b"\0".join(stretches[lo : lo + 4096]), np.uint8)
+        text[starts[lo] : starts[lo] + len(some)] = some
+    owner = space.array(len(text), np.int32)
     for a, b in chunks(len(text)):
         text[a:b] += 2
+        lo, hi = np.searchsorted(starts, [a, b])
+        new = np.zeros(b - a, np.int32)
+        new[starts[lo:hi] - a] = 1
+        owner[a:b] = lo - 1 + np.cumsum(new)
     text[starts + sizes] = 1
     text[-1] = 0
+    final = starts + sizes - length  # where the last window of a stretch starts
     order, prefix = suffix_order(text, length, space)
     groups = sum(int((prefix[a:b] < length).sum()) for a, b in chunks(len(text)))
     first, least = space.array(groups, np.int64), space.array(len(text), np.int64)
@@ -198,24 +205,23 @@ def first_runs(stretches: list[bytes], docs: np.ndarray, length: int = LENGTH, s
             place = np.asarray(order[a:b])
             group = base + np.cumsum(prefix[a:b] < length)
             base = int(group[-1])
-            owner = np.searchsorted(starts, place, side="right") - 1
-            inside = place + length <= starts[owner] + sizes[owner]
-            place, owner, group = place[inside], owner[inside], group[inside]
+            own = owner[place]
+            inside = np.flatnonzero(place <= final[own])
+            place, own, group = place[inside], own[inside], group[inside]
             if fill and len(group):
                 heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                first[group[heads]] = np.minimum(first[group[heads]], np.minimum.reduceat(docs[owner], heads))
+                first[group[heads]] = np.minimum(first[group[heads]], np.minimum.reduceat(docs[own], heads))
             elif len(group):
                 least[place] = first[group]
     out = []
     for a, b in chunks(len(text)):  # runs are cut where a chunk ends, which the ranges do not mind
-        place = np.arange(a, b)
-        owner = np.searchsorted(starts, place, side="right") - 1
-        at = np.flatnonzero(place + length <= starts[owner] + sizes[owner])
+        own = np.asarray(owner[a:b])
+        at = np.flatnonzero(np.arange(a, b) <= final[own])
         if len(at):
-            value, owner = np.asarray(least[a:b])[at], owner[at]
-            heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
+            value, own = np.asarray(least[a:b])[at], own[at]
+            heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
             ends = np.r_[heads[1:], len(at)] - 1
-            out.append((owner[heads], a + at[heads] - starts[owner[heads]], a + at[ends] - starts[owner[heads]], value[heads]))
+            out.append((own[heads].astype(np.int64), a + at[heads] - starts[own[heads]], a + at[ends] - starts[own[heads]], value[heads]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 

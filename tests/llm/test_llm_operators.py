@@ -430,10 +430,10 @@ def test_induced_sort_beyond_memory(monkeypatch):
     order, prefix = induced_sort.suffix_order(text, 50)
     levels, inner, peaks = [], induced_sort.suffix_order, []
 
-    def counted(t, depth, space=None):
+    def counted(t, depth, space=None, exact=True):
         levels.append(len(t))
         peaks.append(space.budget // 2 - space.left)
-        return inner(t, depth, space)
+        return inner(t, depth, space, exact)
 
     monkeypatch.setattr(induced_sort, "suffix_order", counted)
     monkeypatch.setattr(induced_sort, "CHUNK", 1 << 13)
