@@ -132,3 +132,9 @@ def palette_deltas(px: DataFrame) -> DataFrame:
     c = P.unpack(F.col("p"))
     before = {k: F.coalesce(F.lag(v).over(w), F.lit(0)) for k, v in c.items()}
     return t.select("img", "idx", *[P.wrap(c[k] - before[k]).alias(f"d{k}") for k in "rgba"])
+
+
+def facts(px: DataFrame) -> DataFrame:
+    """(img, pixels, total, colours, opaque, uniform): what one scan tells of an image."""
+    p = px.withColumn("p", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a")))
+    return p.groupBy("img").agg(F.count("*").alias("pixels"), F.sum("p").alias("total"), F.count_distinct("p").alias("colours"), F.bool_and(F.col("a") == 255).alias("opaque"), (F.min("p") == F.max("p")).alias("uniform"))

@@ -27,6 +27,9 @@ AC_STEPS = [
 TEXTURE_WEIGHTS = [38, 32, 20, 9, 32, 28, 17, 7, 20, 17, 10, 4, 9, 7, 4, 2]
 # The largest magnitude, and the first one, of each coefficient category beyond the small ones.
 CATEGORIES = [(18, 11), (34, 19), (66, 35), (None, 67)]
+# Fixed values of the bitstream format: probabilities of 256 in the trees of prediction modes, as (probability, bit) on the way to each mode.
+LUMA_PATHS = {"small": [(145, 0)], "dc": [(145, 1), (156, 0), (163, 0)], "vertical": [(145, 1), (156, 0), (163, 1)], "horizontal": [(145, 1), (156, 1), (128, 0)], "true-motion": [(145, 1), (156, 1), (128, 1)]}
+CHROMA_PATHS = {"dc": [(142, 0)], "vertical": [(142, 1), (114, 0)], "horizontal": [(142, 1), (114, 1), (183, 0)], "true-motion": [(142, 1), (114, 1), (183, 1)]}
 #: Planes with a step of their own.
 STEPS = ["y1_dc", "y1_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac"]
 
@@ -167,3 +170,16 @@ def chosen_probabilities(stats: DataFrame) -> DataFrame:
 
 def indexes(spark: SparkSession) -> DataFrame:
     return spark.range(128).select(F.col("id").cast("int").alias("q"))
+
+
+def mode_costs(spark: SparkSession) -> DataFrame:
+    """(plane, mode, cost): cost in 1/256 bit of naming a macroblock's prediction mode; 'small' is that of 4 x 4 luma modes, before these."""
+    rows = [(plane, mode, i, p, bool(b)) for plane, paths in (("luma", LUMA_PATHS), ("chroma", CHROMA_PATHS)) for mode, path in paths.items() for i, (p, b) in enumerate(path)]
+    steps_ = spark.createDataFrame(rows, "plane string, mode string, step int, p int, bit boolean")
+    return steps_.groupBy("plane", "mode").agg(F.sum(F.when(F.col("bit"), bit_cost(F.col("p"), True)).otherwise(bit_cost(F.col("p"), False))).alias("cost"))
+
+
+def segment_steps(blocks: DataFrame, segments: DataFrame, fallback: int) -> DataFrame:
+    """Macroblocks (img, segment, ...) with their segment's quantizer index and steps; segments: (img, segment, q). A segment that is not listed has the fallback."""
+    j = blocks.join(segments, ["img", "segment"], "left").withColumn("q", F.coalesce("q", F.lit(fallback)))
+    return j.select(*j.columns, *[c.cast("int").alias(k) for k, c in steps(F.col("q")).items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import pixel as P
 from pixelloom.functions import transforms, vp8l
-from pixelloom.operators import blocks, options, planning, quantizers, search, stencils
+from pixelloom.operators import blocks, options, planning, quantizers, search, stencils, tiles
 from pixelloom.plans import oracles
 from pixelloom.sources.fixtures import image, pixels, pixels_sql
 
@@ -417,8 +417,49 @@ ALPHA_SQL = f"""WITH f AS ({oracles._alpha()}), c AS (SELECT img, CASE filter WH
 UNION ALL SELECT 'alpha128', -1, 'none', FALSE, 16384) SELECT img, filter, packed, bytes FROM c QUALIFY row_number() OVER (PARTITION BY img ORDER BY bytes, ord) = 1"""
 
 
+def image_limited_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_lossless_planes(pixels(spark)).groupBy("img").agg(F.sum("y").alias("y"), F.sum("cb").alias("cb"), F.sum("cr").alias("cr"))
+
+
+def _limited_sql() -> str:
+    y, cb, cr = oracles._full("s")
+    small = lambda c: f"CASE WHEN {c} < 128 THEN 128 - (abs({c} - 128) * 224 + 127) // 255 ELSE (abs({c} - 128) * 224 + 127) // 255 + 128 END"
+    return f"""WITH px AS ({pixels_sql()}), s AS (SELECT img, r AS s_r, g AS s_g, b AS s_b FROM px), f AS (SELECT img, CAST({y} AS BIGINT) AS y, CAST({cb} AS BIGINT) AS cb, CAST({cr} AS BIGINT) AS cr FROM s)
+SELECT img, CAST(sum((y * 219 + 127) // 255 + 16) AS BIGINT) AS y, CAST(sum({small('cb')}) AS BIGINT) AS cb, CAST(sum({small('cr')}) AS BIGINT) AS cr FROM f GROUP BY img"""
+
+
+def image_tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile size and groups that code an image's channels in the fewest bits."""
+    return tiles.entropy_plan(pixels(spark, ["alpha128", "flat128"]), [5, 6], [1, 4])
+
+
+def image_colour_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.colour_elements(pixels(spark, ["gradient128", "alpha128"]), 6)
+
+
+def tables_mode_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantizers.mode_costs(spark)
+
+
+_PATH = lambda path: " + ".join(_COST(str(256 - p if b else p)) for p, b in path)
+MODE_COSTS_SQL = " UNION ALL ".join(f"SELECT '{plane}' AS plane, '{mode}' AS mode, CAST({_PATH(path)} AS BIGINT) AS cost" for plane, paths in (("luma", quantizers.LUMA_PATHS), ("chroma", quantizers.CHROMA_PATHS)) for mode, path in paths.items())
+
+
+def segment_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantizer steps of macroblocks by their segment; some segments have no index of their own."""
+    b = _lines(spark, sf_dir).select((F.col("l_suppkey") % 9).alias("img"), (F.col("l_linenumber") % 4).alias("segment"))
+    s = spark.range(27).select((F.col("id") % 9).alias("img"), F.floor(F.col("id") / 9).cast("int").alias("segment"), (F.col("id") * 5 % 128).cast("int").alias("q"))
+    return quantizers.segment_steps(b, s, 60).groupBy("img", "segment", "q", "y1_dc", "y1_ac", "uv_ac").agg(F.count("*").alias("blocks"))
+
+
+def _segment_steps_sql() -> str:
+    dc, ac = (str(x) for x in (quantizers.DC_STEPS, quantizers.AC_STEPS))
+    return f"""WITH b AS (SELECT l_suppkey % 9 AS img, l_linenumber % 4 AS segment, count(*) AS blocks FROM lineitem GROUP BY ALL), s AS (SELECT range % 9 AS img, range // 9 AS segment, range * 5 % 128 AS q FROM range(27)),
+j AS (SELECT b.img, b.segment, coalesce(q, 60) AS q, blocks FROM b LEFT JOIN s ON b.img = s.img AND b.segment = s.segment) SELECT img, segment, q, {dc}[q + 1] AS y1_dc, {ac}[q + 1] AS y1_ac, {ac}[q + 1] AS uv_ac, blocks FROM j"""
+
+
 QUERIES = {
-    image_alpha_choice: ALPHA_SQL, tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
+    tables_mode_costs: MODE_COSTS_SQL, segment_steps: _segment_steps_sql(), image_limited_planes: _limited_sql(), image_tile_plan: None, image_colour_elements: None, image_alpha_choice: ALPHA_SQL, tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
     skip_probabilities: SKIP_SQL, token_probabilities: TOKENS_SQL, token_costs: TOKEN_COSTS_SQL, options_resolved: OPTIONS_SQL, memory_gates: MEMORY_SQL, container_sizes: _containers_sql(), candidate_frontier: FRONTIER_SQL,
     candidate_reservoir: RESERVOIR_SQL, candidate_finalists: FINALISTS_SQL, candidate_stages: STAGES_SQL, match_top: MATCH_SQL, match_undominated: UNDOMINATED_SQL, match_extra_bits: EXTRA_SQL, image_row_matches: _row_matches_sql(),
     image_cache_costs: CACHES_SQL, image_sampled_counts: SAMPLED_SQL, image_palette_orders: PALETTES_SQL, tile_groups: TILES_SQL, tile_regrouping: REGROUP_SQL, symbol_bits: SYMBOLS_SQL, image_sharp_chroma: None,

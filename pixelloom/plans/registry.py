@@ -107,8 +107,7 @@ def timing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark).withColumn("p", P.argb(F.col("r"), F.col("g"), F.col("b"), F.col("a")))
-    return px.groupBy("img").agg(F.count("*").alias("pixels"), F.sum("p").alias("total"), F.count_distinct("p").alias("colours"), F.bool_and(F.col("a") == 255).alias("opaque"), (F.min("p") == F.max("p")).alias("uniform"))
+    return histograms.facts(pixels(spark))
 
 
 def image_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
