@@ -110,7 +110,7 @@ def test_token_ids_of_every_code_point():
     """The library decides what a letter is; no Unicode table of another version has a say."""
     own = token_files.ids_of(BYTES)
     points = [chr(c) for c in range(0x33480) if not 0xD800 <= c < 0xE000]
-    for form in ("x{}'re", "{}, a.{}", "a {} b\n{} c,{}.", "{}{},{}"):
+    for form in ("x{}'re", "a {} b\n{} c,{}."):
         texts = [form.replace("{}", c) for c in points]
         want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         for at in range(0, len(texts), 50_000):
@@ -425,7 +425,8 @@ def test_induced_sort(symbols, budget, chunk, monkeypatch):
 def test_induced_sort_beyond_memory(monkeypatch):
     """A sequence whose arrays are far larger than the budget goes to disk, through recursion, and comes out the same."""
     rng = random.Random(14)
-    raw = " ".join(rng.choice(["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]) for _ in range(45_000)).encode()
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    raw = " ".join(rng.choice(vocabulary) for _ in range(30_000)).encode()
     text = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 2, 0).astype(np.int16)
     order, prefix = induced_sort.suffix_order(text, 50)
     levels, inner, peaks = [], induced_sort.suffix_order, []
@@ -436,9 +437,9 @@ def test_induced_sort_beyond_memory(monkeypatch):
         return inner(t, depth, space, exact)
 
     monkeypatch.setattr(induced_sort, "suffix_order", counted)
-    monkeypatch.setattr(induced_sort, "CHUNK", 1 << 13)
-    monkeypatch.setattr(induced_sort, "WINDOW", 1 << 13)
-    space = induced_sort.Space(400_000)
+    monkeypatch.setattr(induced_sort, "CHUNK", 1 << 12)
+    monkeypatch.setattr(induced_sort, "WINDOW", 1 << 12)
+    space = induced_sort.Space(60_000)
     far, far_prefix = induced_sort.suffix_order(text, 50, space)
     assert len(levels) > 2 and space.on_disk > 10 * space.budget and max(peaks) <= space.budget // 2
     assert isinstance(far, np.memmap) and (far_prefix == prefix).all()
