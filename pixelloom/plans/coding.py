@@ -324,6 +324,20 @@ def image_sharp_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("img").agg(F.count("*").alias("n"), F.sum("cb").alias("cb"), F.sum("cr").alias("cr"), F.sum("error").alias("error"))
 
 
+def _sharp_sql() -> str:
+    base = oracles._chroma().rsplit("SELECT", 1)[0].rstrip()  # up to the filtered samples z
+    luma = "((r * 16839 + g * 33059 + b * 6420 + 32768 + 1048576) >> 16)"
+    low = lambda e, n: f"CAST(floor(({e}) / {n}.0) AS INTEGER)"
+    y = "((l * 19077) >> 8)"
+    rgb = {"r": f"{y} + ((tcr * 26149) >> 8) - 14234", "g": f"{y} - ((tcb * 6419) >> 8) - ((tcr * 13320) >> 8) + 8708", "b": f"{y} + ((tcb * 33050) >> 8) - 17685"}
+    error = " + ".join(f"({CLIP(low(e, 64), 0, 255)} - {k}) ** 2" for k, e in rgb.items())
+    return f"""{base}, w AS (SELECT img, x // 2 AS cx, y // 2 AS cy, r, g, b, {luma} AS l FROM px WHERE img = 'alpha128'), m AS (SELECT img, x // 2 AS cx, y // 2 AS cy, CAST((sum(cb) + 2) // 4 AS INTEGER) AS mb, CAST((sum(cr) + 2) // 4 AS INTEGER) AS mr FROM c GROUP BY ALL),
+d AS (SELECT CAST(range - 2 AS INTEGER) AS d FROM range(5)), zz AS (SELECT img, cx, cy, CAST(cb AS INTEGER) AS cb, CAST(cr AS INTEGER) AS cr FROM z WHERE img = 'alpha128'),
+t AS (SELECT *, 0 AS n, cb AS tcb, cr AS tcr FROM zz UNION ALL SELECT zz.*, 1, cb + i.d, cr + j.d FROM zz, d i, d j UNION ALL SELECT zz.*, 2, mb + i.d, mr + j.d FROM zz JOIN m ON zz.img = m.img AND zz.cx = m.cx AND zz.cy = m.cy CROSS JOIN d i CROSS JOIN d j),
+k AS (SELECT t.img, t.cx, t.cy, n, tcb, tcr, CAST(sum({error}) AS BIGINT) AS e FROM t JOIN w ON t.img = w.img AND t.cx = w.cx AND t.cy = w.cy WHERE tcb BETWEEN 0 AND 255 AND tcr BETWEEN 0 AND 255 GROUP BY ALL),
+a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY img, cx, cy ORDER BY e, n, tcb, tcr) = 1) SELECT img, count(*) AS n, CAST(sum(tcb) AS BIGINT) AS cb, CAST(sum(tcr) AS BIGINT) AS cr, CAST(sum(e) AS BIGINT) AS error FROM a GROUP BY img"""
+
+
 def fixture_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("fixture"))
     return options.product(f, [90, 50, 75, 50], ["ours", "theirs"])
@@ -462,6 +476,6 @@ QUERIES = {
     tables_mode_costs: MODE_COSTS_SQL, segment_steps: _segment_steps_sql(), image_limited_planes: _limited_sql(), image_tile_plan: None, image_colour_elements: None, image_alpha_choice: ALPHA_SQL, tables_quantizers: _quantizers_sql(), tables_efforts: EFFORTS_SQL, tables_candidate_modes: MODES_SQL, tables_categories: CATEGORIES_SQL, image_texture: _texture_sql(), segment_probabilities: SEGMENTS_SQL,
     skip_probabilities: SKIP_SQL, token_probabilities: TOKENS_SQL, token_costs: TOKEN_COSTS_SQL, options_resolved: OPTIONS_SQL, memory_gates: MEMORY_SQL, container_sizes: _containers_sql(), candidate_frontier: FRONTIER_SQL,
     candidate_reservoir: RESERVOIR_SQL, candidate_finalists: FINALISTS_SQL, candidate_stages: STAGES_SQL, match_top: MATCH_SQL, match_undominated: UNDOMINATED_SQL, match_extra_bits: EXTRA_SQL, image_row_matches: _row_matches_sql(),
-    image_cache_costs: CACHES_SQL, image_sampled_counts: SAMPLED_SQL, image_palette_orders: PALETTES_SQL, tile_groups: TILES_SQL, tile_regrouping: REGROUP_SQL, symbol_bits: SYMBOLS_SQL, image_sharp_chroma: None,
+    image_cache_costs: CACHES_SQL, image_sampled_counts: SAMPLED_SQL, image_palette_orders: PALETTES_SQL, tile_groups: TILES_SQL, tile_regrouping: REGROUP_SQL, symbol_bits: SYMBOLS_SQL, image_sharp_chroma: _sharp_sql(),
     fixture_product: PRODUCT_SQL, variant_ablation: ABLATION_SQL, plane_scalars: SCALARS_SQL, finalists_by_turn: TURNS_SQL, fixtures_missing: MISSING_SQL,
 }
