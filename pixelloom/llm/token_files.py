@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,9 @@ from pixelloom.llm.token_counts import byte_level
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Bytes of text that are cut into parts and looked up together; a longer text is a group of its own.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 12_000_000
 #: Parts that a worker remembers before it forgets those that one group only had, and parts that go to the library in one call.
-MEMO_PARTS, ASK_PARTS = 400_000, 20_000
+MEMO_PARTS, ASK_PARTS = 900_000, 20_000
 #: What keeps a text from being cut before each space, comma and full stop and around each line break: white space next to white
 #: space or at the end, other white space or control characters, and a comma or full stop that does not follow a plain letter or digit.
 _JOINS = r"[ \n][ \n]|[ \n]$|[^0-9A-Za-zÀ-ÖØ-öø-ž][,.]|^[,.]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -47,7 +46,7 @@ _VISIBLE = re.compile(r" ?[!-~]+").fullmatch
 
 
 class Ids:
-    """Ids of texts by way of their parts; knows the ids of about MEMO_PARTS parts and a group's more.
+    """Ids of texts by way of their parts, which it keeps as one Arrow array; knows the ids of about MEMO_PARTS parts and a group's more.
 
     Plain texts are cut before each space, comma and full stop and around each line break, where no pre-token can reach across. Texts
     in which one of these could join others are cut before white space only; texts with special tokens, or control
@@ -58,16 +57,15 @@ class Ids:
         self.tokenizer, self.special, self.splits = byte_level(path)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if self.splits and len(line) == 1 else None
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def forget(self) -> None:
         """Forgets the parts that one group only had."""
-        known, often = list(self.known), np.flatnonzero(self.used > 1)
+        often = np.flatnonzero(self.used > 1)
         start = np.cumsum(self.size) - self.size
         self.ids = self.ids[_ragged(start[often], self.size[often])]
-        self.size, self.used = self.size[often], np.zeros(len(often), np.int32)
-        self.known = {known[i]: at for at, i in enumerate(often.tolist())}
+        self.known, self.size, self.used = self.known.take(pa.array(often)), self.size[often], np.zeros(len(often), np.int32)
 
     def learn(self, parts: list[str]) -> None:
         """Asks the library for the ids of new parts. Parts of visible ASCII characters go in one text, a line each: the line break is a pre-token, and a token, of its own."""
@@ -86,7 +84,7 @@ class Ids:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(rest[at : at + ASK_PARTS], add_special_tokens=False)]
             ids_.append(np.array([i for x in got for i in x], np.int32))
             sizes.append(np.array([len(x) for x in got], np.int64))
-        self.known.update(zip([*plain, *rest], range(len(self.known), len(self.known) + len(parts))))
+        self.known = pa.concat_arrays([self.known, pa.array(plain, pa.string()), pa.array(rest, pa.string())])
         self.ids, self.size = np.concatenate(ids_), np.concatenate(sizes)
         self.used = np.r_[self.used, np.zeros(len(parts), np.int32)]
 
@@ -112,22 +110,25 @@ class Ids:
             first[some] = base + np.cumsum(counts[some]) - counts[some]
         return pa.concat_arrays([parts, pa.array([p for x in own for p in x], pa.string())]), counts, _ragged(first, counts)
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where known parts stand; -1 for others."""
+        return pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         parts, counts, place = self.cut(texts)
         coded = parts.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if not words:
+        words = coded.dictionary
+        if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         if len(self.known) > MEMO_PARTS:
             self.forget()
-        known = self.known.get
-        at = np.fromiter(map(known, words, repeat(-1)), np.int64, len(words))
+        at = self._places(words)
         new = np.flatnonzero(at < 0)
         if len(new):
-            asked = [words[i] for i in new.tolist()]
-            self.learn(asked)
-            at[new] = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+            before, asked = len(self.known), words.take(pa.array(new))
+            self.learn(asked.to_pylist())
+            at[new] = before + pc.index_in(asked, value_set=self.known.slice(before)).to_numpy()
         self.used[at] += 1
         size = self.size
         start = np.cumsum(size) - size
