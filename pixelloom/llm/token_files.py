@@ -35,9 +35,9 @@ from pixelloom.llm.token_counts import byte_level
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 1 << 20
 #: Bytes of text that are cut into parts and looked up together; a longer text is a group of its own.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 6_000_000
 #: Parts that a worker remembers before it forgets those that one group only had, and parts that go to the library in one call.
-MEMO_PARTS, ASK_PARTS = 900_000, 20_000
+MEMO_PARTS, ASK_PARTS = 600_000, 20_000
 #: What keeps a text from being cut before each space, comma and full stop and around each line break: white space next to white
 #: space or at the end, other white space or control characters, and a comma or full stop that does not follow a plain letter or digit.
 _JOINS = r"[ \n][ \n]|[ \n]$|[^0-9A-Za-zÀ-ÖØ-öø-ž][,.]|^[,.]|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
