@@ -62,7 +62,11 @@ def shingle_hashes(text: str, width: int = 4) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 4) -> int:
     """A bit is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have; 0 for none."""
     if not len(h):
         return 0
     total = np.zeros(BITS, np.int64)
